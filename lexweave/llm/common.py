@@ -44,6 +44,12 @@ def _remove_written() -> None:
             return
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2_000, size: str = "32m") -> None:
+    """Bound what a Python worker holds at once, by rows and by bytes, so that runs of very long texts fit."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` marked for broadcast if it has at most ``rows`` rows. Counting stops at the bound."""
     small = df.limit(rows + 1).count() <= rows

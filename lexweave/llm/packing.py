@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize
+from lexweave.llm.common import arrow_batches, materialize
 
 SEQ_LEN = 1024
 END_ID = 2
@@ -69,6 +69,7 @@ def pieces(docs: DataFrame, vocabulary: str, seq_len: int = SEQ_LEN, end_id: int
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
 
 

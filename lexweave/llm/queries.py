@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import langid, line_dedup, packing, pii
+from lexweave.llm import chat, langid, line_dedup, packing, pii, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_line_dedup_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -34,13 +38,22 @@ def op6_language_id_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_chats(rows.union(spark.createDataFrame(chat.PROBE, rows.schema))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup_site_spread": op4_line_dedup_site_spread,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id_compression": op6_language_id_compression,
+    "op7_chat_formatting": op7_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup_site_spread": line_dedup.ORACLE_SQL,
+    "op5_exact_top_k": topk.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL,
 }

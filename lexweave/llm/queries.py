@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chat, decontaminate, langid, line_dedup, packing, pii, topk
+from lexweave.llm import chat, decontaminate, langid, line_dedup, near_dup, packing, pii, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.union(spark.createDataFrame(chat.PROBE, rows.schema))))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id_compression": op6_language_id_compression,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

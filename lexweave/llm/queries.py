@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chat, decontaminate, langid, line_dedup, near_dup, packing, pii, topk
+from lexweave.llm import chat, decontaminate, html_extract, langid, line_dedup, near_dup, packing, pii, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.where(~held_out).join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -60,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id_compression": op6_language_id_compression,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_toxicity_cnn": op10_toxicity_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {

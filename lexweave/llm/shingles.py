@@ -35,7 +35,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> int:
+def _cut(data: np.ndarray, offsets: np.ndarray, at: int, end: int, space: np.ndarray) -> int:
     """The end of the stretch from ``at``: a text's end or the start of white space, if there is one."""
     to = min(at + STRETCH, end)
     if to == end:
@@ -43,25 +43,25 @@ def _cut(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> int:
     k = int(np.searchsorted(offsets, to, side="right")) - 1
     if offsets[k] > at:
         return int(offsets[k])
-    white = np.flatnonzero(_SPACE[data[at:to]])
+    white = np.flatnonzero(space[data[at:to]])
     if len(white) and white[-1]:
         return at + int(white[-1])
     limit = int(offsets[k + 1])  # one very long word: up to its end
     for start in range(to, limit, STRETCH):
-        white = np.flatnonzero(_SPACE[data[start : min(start + STRETCH, limit)]])
+        white = np.flatnonzero(space[data[start : min(start + STRETCH, limit)]])
         if len(white):
             return start + int(white[0])
     return limit
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts in ``data``, and how many words each text has."""
-    hashes, texts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word of the texts in ``data``, that of its ``first`` bytes, and how many words each text has."""
+    hashes, heads, texts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
-        to = _cut(data, offsets, at, end)
+        to = _cut(data, offsets, at, end, space)
         part = data[at:to]
-        word = ~_SPACE[part]
+        word = ~space[part]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")] - at
@@ -72,11 +72,14 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             which = np.cumsum(begins)[places] - 1
             inside = places - starts[which]
             values = _BYTES[part[places]] * _powers(int(inside.max()) + 1)[inside]
-            hashes.append(mix(np.add.reduceat(values, np.searchsorted(places, starts))))
+            at_word = np.searchsorted(places, starts)
+            hashes.append(mix(np.add.reduceat(values, at_word)))
+            if first:
+                heads.append(mix(np.add.reduceat(np.where(inside < first, values, np.uint64(0)), at_word)))
             texts.append(np.searchsorted(offsets, starts + at, "right") - 1)
         at = to
     counts = np.bincount(np.concatenate(texts), minlength=len(offsets) - 1)
-    return np.concatenate(hashes), counts
+    return np.concatenate(hashes), np.concatenate(heads), counts
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +94,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
     """The sorted distinct shingle hashes of every text one after the other, and the size of each text's set."""
     if not len(column):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    words, counts = _word_hashes(*_buffers(column))
+    words, _, counts = _word_hashes(*_buffers(column))
     ends = np.cumsum(counts)
     n = len(words)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
@@ -111,3 +114,18 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
         sets.append(found)
         sizes[i] = len(found)
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), sizes
+
+
+#: Everything but ASCII letters and the bytes of other letters parts words.
+_NOT_LETTERS = np.ones(256, dtype=bool)
+_NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(column: pa.Array, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts, one after the other: the hash of every word, that of its ``first`` bytes, and each text's count.
+
+    Words are runs of letters here, with A-Z in lower case; signs, digits and white space part them.
+    """
+    if not len(column):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return _word_hashes(*_buffers(column), _NOT_LETTERS, first)

@@ -1 +1 @@
-
+"""Sources: PDF files, pages of text, landing folders."""

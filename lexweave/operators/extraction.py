@@ -34,7 +34,7 @@ def parse_entities(rows: DataFrame, column: str = "content") -> DataFrame:
 
 def run_model(chunks: DataFrame, model: Extractor, partitions: int | None = None) -> DataFrame:
     """``chunks`` with the model's raw ``content`` and ``error``; ``partitions`` bounds how many calls run at once."""
-    schema = chunks.drop("content", "error").select("*", F.lit("").alias("content"), F.lit("").alias("error")).schema
+    schema = chunks.drop("content", "error").select("*", *(F.lit(None).cast("string").alias(c) for c in ("content", "error"))).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,6 +1,661 @@
-"""Registered queries of the document and entity operators."""
+"""Registered queries of the document and entity operators, each with the equivalent SQL where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexweave.durable import materialize, shared_dir
+from lexweave.functions import similarity as S
+from lexweave.functions import text as T
+from lexweave.models import HashingEmbedder, RuleExtractor, RuleJudge
+from lexweave.operators import candidates as C
+from lexweave.operators import chunking, extraction, judgment, resolution, retrieval, tables
+from lexweave.plans import inputs as I
+from lexweave.sources import files
+from lexweave.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- scans -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {I.CHUNKS} SELECT chunk_id, source_file, chunk_index, text, word_count FROM chunks")
+def scan_chunks(spark, sf):
+    return I.chunks(spark, sf)
+
+
+@query(f"WITH {I.CHUNKS} SELECT chunk_id, word_count FROM chunks ORDER BY chunk_id LIMIT 2000")
+def limited_scan(spark, sf):
+    return I.chunks(spark, sf).select("chunk_id", "word_count").orderBy("chunk_id").limit(2000)
+
+
+@query("SELECT source AS source_file, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1")
+def rows_per_source(spark, sf):
+    docs = I.table(spark, sf, "documents").where(F.col("source").isin("src1", "src2"))
+    return docs.groupBy(F.col("source").alias("source_file")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {I.ENTITIES} SELECT entity_id, name FROM entities WHERE type = 'Brand#2'")
+def entities_by_type(spark, sf):
+    return I.entities(spark, sf).where("type = 'Brand#2'").select("entity_id", "name")
+
+
+@query(f"WITH {I.ENTITIES}, k AS (SELECT DISTINCT 'e' || (l_partkey % 3000) AS entity_id FROM lineitem) SELECT k.entity_id, name, type FROM k LEFT JOIN entities USING (entity_id)")
+def entity_lookup(spark, sf):
+    keys = I.table(spark, sf, "lineitem").select(F.concat(F.lit("e"), F.col("l_partkey") % 3000).alias("entity_id")).distinct()
+    return tables.lookup(keys, I.entities(spark, sf).select("entity_id", "name", "type"), "entity_id")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS dedup_processed FROM orders WHERE CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END IS DISTINCT FROM true")
+def unprocessed_nullsafe(spark, sf):
+    flag = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    return tables.unprocessed(I.table(spark, sf, "orders").select("o_orderkey", flag.alias("dedup_processed")))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_partkey % 500 AS l_partkey, l_suppkey % 50 AS l_suppkey FROM lineitem),
+e AS (SELECT l_partkey, l_suppkey, l_orderkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS n FROM lineitem)
+SELECT k.l_partkey, k.l_suppkey, e.l_orderkey, e.l_quantity FROM k LEFT JOIN e ON k.l_partkey = e.l_partkey AND k.l_suppkey = e.l_suppkey AND e.n = 1""")
+def edge_lookup(spark, sf):
+    li = I.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    keys = li.select((F.col("l_partkey") % 500).alias("l_partkey"), (F.col("l_suppkey") % 50).alias("l_suppkey")).distinct()
+    order = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return tables.first_edge(li, keys, ("l_partkey", "l_suppkey"), order).select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity")
+
+
+@query("SELECT max(doc_id) AS seq, name FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '.pdf' WHEN 1 THEN source || '.PDF' ELSE source || '.txt' END AS name FROM documents) WHERE lower(name) LIKE '%.pdf' GROUP BY name")
+def pdf_only(spark, sf):
+    key = F.col("doc_id") % 3
+    name = F.concat("source", F.when(key == 0, ".pdf").when(key == 1, ".PDF").otherwise(".txt"))
+    return files.only_pdf(I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), name.alias("name")))
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH old AS (SELECT source AS source_file, doc_id, n_chars FROM documents), new AS (SELECT source AS source_file, doc_id, n_chars + 1 AS n_chars FROM documents WHERE source IN ('src3', 'src4') AND doc_id % 2 = 0)
+SELECT * FROM old WHERE source_file NOT IN (SELECT source_file FROM new) UNION ALL SELECT * FROM new""")
+def replace_by_source(spark, sf):
+    old = I.table(spark, sf, "documents").select(F.col("source").alias("source_file"), "doc_id", "n_chars")
+    new = old.where(F.col("source_file").isin("src3", "src4") & (F.col("doc_id") % 2 == 0)).withColumn("n_chars", F.col("n_chars") + 1)
+    return tables.replace_by_source(old, new)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT c_custkey + 1000000, c_acctbal + 100 FROM customer WHERE c_custkey % 70 = 0""")
+def upsert_by_key(spark, sf):
+    old = I.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    changed = old.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 100)
+    added = old.where("c_custkey % 70 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), (F.col("c_acctbal") + 100).alias("c_acctbal"))
+    return tables.upsert(old, changed.union(added), "c_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN true WHEN o_orderstatus = 'O' THEN false END AS dedup_processed FROM orders")
+def mark_processed(spark, sf):
+    orders = I.table(spark, sf, "orders")
+    rows = orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", False).alias("dedup_processed"))
+    return tables.mark_processed(rows, orders.where("o_custkey % 2 = 0"), key="o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+def edge_integrity(spark, sf):
+    edges = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    nodes = I.table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.orphans(edges, nodes, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders), b AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 11 <> 0)
+SELECT c_custkey, 'left' AS only_in FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM b) UNION ALL SELECT c_custkey, 'right' FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)""")
+def key_set_equality(spark, sf):
+    a = I.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.key_difference(a, I.table(spark, sf, "customer").where("c_custkey % 11 <> 0"), "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, sf):
+    return tables.duplicate_keys(I.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {I.CHUNKS} SELECT chunk_id, source_file FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_index % 2 = 0)")
+def pending_chunks(spark, sf):
+    rows = I.chunks(spark, sf)
+    return tables.pending(rows, rows.where("chunk_index % 2 = 0"), "chunk_id").select("chunk_id", "source_file")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500) WHERE o_custkey % 3 <> 0")
+def run_limit_counts_done(spark, sf):
+    rows = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return tables.limited(rows, rows.where("o_custkey % 3 = 0"), 500, "o_orderkey", key="o_orderkey", count_done=True).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 3 <> 0 ORDER BY o_orderkey LIMIT 500")
+def run_limit_pending_only(spark, sf):
+    rows = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return tables.limited(rows, rows.where("o_custkey % 3 = 0"), 500, "o_orderkey", key="o_orderkey").select("o_orderkey")
+
+
+@query(f"WITH {I.CHUNKS} SELECT source_file, chunk_id FROM chunks WHERE source_file <> 'doc7.pdf'")
+def erase_source(spark, sf):
+    return tables.erase_source(I.chunks(spark, sf).select("source_file", "chunk_id"), "doc7.pdf")
+
+
+@query(f"""WITH {I.CHUNKS} SELECT 'e' || (chunk_index % 3) AS entity_id, chunk_id FROM chunks
+WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE source_file = 'doc8.pdf')""")
+def erase_lineage(spark, sf):
+    rows = I.chunks(spark, sf)
+    edges = rows.select(F.concat(F.lit("e"), F.col("chunk_index") % 3).alias("entity_id"), "chunk_id")
+    return tables.erase_source(edges, "doc8.pdf", rows.select("source_file", "chunk_id")).select("entity_id", "chunk_id")
+
+
+# --- chunking --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {I.CHUNKS} SELECT source_file, chunk_index, text, word_count FROM chunks")
+def chunk_documents(spark, sf):
+    return I.chunks(spark, sf).select("source_file", "chunk_index", "text", "word_count")
+
+
+@query(f"""WITH {I.SOURCES}, lines AS (SELECT source_file, unnest(range(len(a))) + 1 AS page, unnest(a) AS text FROM (SELECT source_file, string_split(text, chr(10)) AS a FROM sources)),
+tokens AS (SELECT source_file, page, unnest(range(len(w))) AS j, unnest(w) AS word FROM (SELECT source_file, page, {I._SPLIT.format("text")} AS w FROM lines)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY page, j) - 1 AS p, count(*) OVER (PARTITION BY source_file) AS n FROM tokens),
+windows AS (SELECT *, unnest(range(CAST(greatest(0, ceil((p - 349) / 300.0)) AS INTEGER), CAST(p // 300 + 1 AS INTEGER))) AS chunk_index FROM placed)
+SELECT source_file, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(count(*) AS INTEGER) AS word_count, CAST(min(page) AS INTEGER) AS page_start, CAST(max(page) AS INTEGER) AS page_end
+FROM windows WHERE chunk_index < CASE WHEN n <= 350 THEN 1 ELSE ceil((n - 350) / 300.0) + 1 END GROUP BY 1, 2""")
+def chunk_page_range(spark, sf):
+    pages = I.sources(spark, sf).select("source_file", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+    rows = chunking.chunk_pages(pages.withColumn("page", F.col("page") + 1))
+    return rows.select("source_file", "chunk_index", "word_count", "page_start", "page_end")
+
+
+@query(f"WITH {I.CHUNKS} SELECT source_file, CAST(n AS INTEGER) AS total_words, CAST(k AS INTEGER) AS chunk_count FROM counted")
+def doc_chunk_summary(spark, sf):
+    return chunking.summaries(I.sources(spark, sf))
+
+
+@query(r"SELECT doc_id, regexp_replace(name, '^(.+)\.[^.]*$', '\1') || '_' || (doc_id % 9) AS chunk_id FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a.b.pdf' WHEN 1 THEN '.hidden' WHEN 2 THEN 'plain' ELSE 'doc' || doc_id || '.PDF' END AS name FROM documents)")
+def chunk_ids(spark, sf):
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, "/x.y/a.b.pdf").when(k == 1, "/up/.hidden").when(k == 2, "plain").otherwise(F.concat(F.lit("doc"), "doc_id", F.lit(".PDF")))
+    return I.table(spark, sf, "documents").select("doc_id", T.chunk_id(name, F.col("doc_id") % 9).alias("chunk_id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'shown' || doc_id ELSE 'f' || doc_id || '.pdf' END AS source_file FROM documents")
+def source_names(spark, sf):
+    display = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("shown"), "doc_id")).when(F.col("doc_id") % 3 == 1, "")
+    path = F.concat(F.lit("/tmp/x/f"), "doc_id", F.lit(".pdf"))
+    return I.table(spark, sf, "documents").select("doc_id", T.source_name(path, display).alias("source_file"))
+
+
+@query(f"""WITH {I.CHUNKS} SELECT source_file, CAST(count(*) AS INTEGER) AS chunk_count, CAST(sum(word_count) AS INTEGER) AS words FROM chunks GROUP BY 1""")
+def chunks_to_json(spark, sf):
+    payload = chunking.to_json(I.chunks(spark, sf).select("source_file", "chunk_index", "text", "word_count"))
+    back = F.from_json("payload", "struct<source_file:string,chunk_count:int,chunks:array<struct<chunk_index:int,text:string,word_count:int>>>")
+    rows = payload.select(back.alias("b"))
+    return rows.select("b.source_file", "b.chunk_count", F.aggregate("b.chunks.word_count", F.lit(0), lambda s, x: s + x).alias("words"))
+
+
+# --- patterns --------------------------------------------------------------------------------------------------------
+
+_DOCKET_SQL = r"list_distinct(regexp_extract_all(text, '(?i)\b(?:\d{1,2}:)?\d{2}-(?:cv|cr|md|mc)-\d{4,6}(?:-[A-Z]{2,4})?\b'))"
+_DATE_SQL = r"list_distinct(regexp_extract_all(text, '\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b(?:" + T.MONTHS + r")\s+\d{1,2},?\s+\d{4}\b'))"
+
+
+@query(f"WITH {I.FILINGS} SELECT o_orderkey, list_sort({_DOCKET_SQL}) AS docket_numbers FROM filings")
+def docket_numbers(spark, sf):
+    return I.filings(spark, sf).select("o_orderkey", F.array_sort(T.docket_numbers(F.col("text"))).alias("docket_numbers"))
+
+
+@query(f"WITH {I.FILINGS} SELECT o_orderkey, list_sort({_DATE_SQL}) AS dates FROM filings")
+def dates(spark, sf):
+    return I.filings(spark, sf).select("o_orderkey", F.array_sort(T.dates(F.col("text"))).alias("dates"))
+
+
+_NOISE_SQL = r"regexp_matches({}, '(?i)\bv\.\s|\bWL\s+\d|\bF\.\s?(2d|3d|Supp)|\bDep\.\s?Tr\.|\bDecl\.|\bExhibit\b|\bDE\s+\d|\bDocument\s+\d')"
+_KEPT_SQL = f"type <> 'reference' AND NOT {_NOISE_SQL.format('cited')} AND NOT {_NOISE_SQL.format('evidence')}"
+
+
+@query(f"WITH {I.PARTS} SELECT p_partkey, cited, type FROM parts WHERE {_KEPT_SQL}")
+def filter_noise_entities(spark, sf):
+    rows = I.parts(spark, sf)
+    return rows.where(~T.is_noise(F.col("type"), F.col("cited"), F.col("evidence"))).select("p_partkey", "cited", "type")
+
+
+def _entity_array(rows: DataFrame) -> DataFrame:
+    item = F.struct("p_partkey", F.col("cited").alias("name"), "type", F.lit("none").alias("candidate_role"), F.col("evidence").alias("textual_evidence"), "confidence")
+    grouped = rows.groupBy((F.col("p_partkey") % 200).alias("chunk")).agg(F.sort_array(F.collect_list(item)).alias("entities"))
+    return grouped.select("chunk", "entities")
+
+
+@query(f"WITH {I.PARTS} SELECT p_partkey % 200 AS chunk, bool_or(confidence = 'resolved_from_context') AS needs_review, CAST(count(*) FILTER (WHERE {_KEPT_SQL}) AS INTEGER) AS n_kept FROM parts GROUP BY 1")
+def needs_review(spark, sf):
+    rows = _entity_array(I.parts(spark, sf))
+    return rows.select("chunk", T.needs_review(F.col("entities")).alias("needs_review"), F.size(T.participants(F.col("entities"))).alias("n_kept"))
+
+
+@query(f"""WITH {I.FILINGS}, {I.PARTS}, e AS (SELECT p_partkey % 200 AS chunk, count(*) FILTER (WHERE {_KEPT_SQL}) AS n FROM parts GROUP BY 1)
+SELECT o_orderkey, list_sort({_DOCKET_SQL}) AS docket_numbers, list_sort({_DATE_SQL}) AS dates, CAST(coalesce(n, 0) AS INTEGER) AS n_entities FROM filings LEFT JOIN e ON o_orderkey % 400 = chunk""")
+def combined_extraction(spark, sf):
+    found = _entity_array(I.parts(spark, sf)).withColumn("entities", T.participants(F.col("entities")))
+    rows = extraction.patterns(I.filings(spark, sf)).join(found, F.col("o_orderkey") % 400 == F.col("chunk"), "left")
+    return rows.select("o_orderkey", F.array_sort("docket_numbers").alias("docket_numbers"), F.array_sort("dates").alias("dates"), F.coalesce(F.size("entities"), F.lit(0)).alias("n_entities"))
+
+
+@query(f"WITH {I.CHUNKS} SELECT chunk_id FROM chunks WHERE regexp_matches(text, '(?i)token|idiot|stupid') AND length(text) > 800")
+def dense_chunks(spark, sf):
+    return I.chunks(spark, sf).where(F.col("text").rlike("(?i)token|idiot|stupid") & (F.length("text") > 800)).select("chunk_id")
+
+
+@query(f"""WITH {I.CHUNKS} SELECT c.chunk_id, c.word_count, p.n_chars FROM chunks c LEFT JOIN (SELECT 'doc' || doc_id || '_0' AS chunk_id, n_chars FROM documents WHERE doc_id % 3 = 0) p ON c.chunk_id = p.chunk_id""")
+def extraction_text_join(spark, sf):
+    texts = I.table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("doc"), "doc_id", F.lit("_0")).alias("chunk_id"), "n_chars")
+    return tables.lookup(I.chunks(spark, sf).select("chunk_id", "word_count"), texts, "chunk_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, p_partkey % 5 = 0 AS failed FROM part""")
+def parse_entities_json(spark, sf):
+    """Answers that are cut short are errors and never empty results."""
+    whole = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.lit("person").alias("type"))).alias("entities")))
+    content = F.when(F.col("p_partkey") % 5 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole)
+    rows = extraction.parse_entities(I.table(spark, sf, "part").select("p_partkey", content.alias("content")))
+    return rows.select("p_partkey", F.try_element_at("entities", F.lit(1))["name"].alias("name"), F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def model_extraction(spark, sf):
+    """The stub extractor over all chunks, with patterns, noise filter and review flag; failures apart."""
+    good, _ = extraction.extract(I.chunks(spark, sf), RuleExtractor())
+    return good.drop("extracted_at")
+
+
+# --- names -----------------------------------------------------------------------------------------------------------
+
+_GENERIC_SQL = r"(coalesce({0}, '') = '' OR regexp_matches({0}, '(?i)\b(" + "|".join(T.ROLE_WORDS) + r")\b'))"
+_TOKENS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
+_INITIALS_SQL = r"array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace({}, '[^a-zA-Z\s]', '', 'g'), '\s+'), lambda x: x <> '' AND lower(x) NOT IN ('of', 'the', 'and', 'for')), lambda x: lower(x[1])), '')"
+_LETTERS_SQL = "lower(regexp_replace({}, '[^a-zA-Z]', '', 'g'))"
+
+
+@query(f"WITH {I.PARTS} SELECT p_partkey, {_GENERIC_SQL.format('roled')} AS generic FROM parts")
+def looks_generic(spark, sf):
+    return I.parts(spark, sf).select("p_partkey", T.looks_generic(F.col("roled")).alias("generic"))
+
+
+@query(f"WITH {I.PARTS} SELECT p_partkey, list_sort({_TOKENS_SQL.format('long_name')}) AS tokens, {_INITIALS_SQL.format('long_name')} AS initials, {_LETTERS_SQL.format('long_name')} AS letters FROM parts")
+def name_parts(spark, sf):
+    name = F.col("long_name")
+    return I.parts(spark, sf).select("p_partkey", F.array_sort(T.name_tokens(name)).alias("tokens"), T.initials(name).alias("initials"), T.letters(name).alias("letters"))
+
+
+_PAIRS_SQL = """pairs AS (SELECT s.s_suppkey, p.p_partkey, p.long_name AS a,
+  CASE s_suppkey % 3 WHEN 0 THEN upper(substr(p.long_name, 1, 1)) || '.O.T.' WHEN 1 THEN 'City of Bar' ELSE s_name END AS b FROM parts p JOIN supplier s ON p.p_partkey % 100 = s.s_suppkey % 100)"""
+
+
+def _name_pairs(spark, sf) -> DataFrame:
+    parts, s = I.parts(spark, sf), I.table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    k = F.col("s_suppkey") % 3
+    b = F.when(k == 0, F.concat(F.upper(F.substring("long_name", 1, 1)), F.lit(".O.T."))).when(k == 1, "City of Bar").otherwise(F.col("s_name"))
+    return parts.join(s, F.col("p_partkey") % 100 == F.col("s_suppkey") % 100).select("s_suppkey", "p_partkey", F.col("long_name").alias("a"), b.alias("b"))
+
+
+_SHORT_LONG = "CASE WHEN length(a) >= length(b) THEN {} ELSE {} END"
+_ACRONYM_SQL = f"(length({_LETTERS_SQL.format(_SHORT_LONG.format('b', 'a'))}) > 1 AND {_INITIALS_SQL.format(_SHORT_LONG.format('a', 'b'))} = {_LETTERS_SQL.format(_SHORT_LONG.format('b', 'a'))})"
+_SHARES_SQL = f"list_has_any({_TOKENS_SQL.format('a')}, {_TOKENS_SQL.format('b')})"
+
+
+@query(f"WITH {I.PARTS}, {_PAIRS_SQL} SELECT s_suppkey, p_partkey, {_SHARES_SQL} AS shares FROM pairs")
+def shares_token(spark, sf):
+    return _name_pairs(spark, sf).select("s_suppkey", "p_partkey", T.shares_token(F.col("a"), F.col("b")).alias("shares"))
+
+
+@query(f"WITH {I.PARTS}, {_PAIRS_SQL} SELECT s_suppkey, p_partkey, {_ACRONYM_SQL} AS acronym FROM pairs")
+def acronym_related(spark, sf):
+    return _name_pairs(spark, sf).select("s_suppkey", "p_partkey", T.acronym_related(F.col("a"), F.col("b")).alias("acronym"))
+
+
+@query(f"WITH {I.PARTS}, {_PAIRS_SQL} SELECT s_suppkey, p_partkey, {_SHARES_SQL} OR {_ACRONYM_SQL} AS related FROM pairs")
+def looks_related(spark, sf):
+    return _name_pairs(spark, sf).select("s_suppkey", "p_partkey", T.looks_related(F.col("a"), F.col("b")).alias("related"))
+
+
+@query(f"WITH {I.LOCATED} SELECT doc_id, matched, CASE WHEN matched IS NOT NULL THEN CAST(instr(text, matched) AS INTEGER) END AS position FROM placed")
+def locate_mention(spark, sf):
+    rows = I.located(spark, sf).select("doc_id", T.locate(F.col("text"), F.col("evidence"), F.col("name")).alias("p"))
+    return rows.select("doc_id", "p.matched", "p.position")
+
+
+@query(f"""WITH {I.LOCATED}, cut AS (SELECT doc_id, matched, {I._SPLIT.format("substr(text, 1, instr(text, matched) - 1)")} AS b, {I._SPLIT.format("substr(text, instr(text, matched) + length(matched))")} AS a FROM placed)
+SELECT doc_id, CASE WHEN matched IS NOT NULL THEN array_to_string(list_concat(list_concat(b[greatest(len(b) - 14, 1) : len(b)], [matched]), a[1 : 15]), ' ') END AS snippet FROM cut""")
+def mention_snippets(spark, sf):
+    place = T.locate(F.col("text"), F.col("evidence"), F.col("name"))
+    return I.located(spark, sf).withColumn("p", place).select("doc_id", T.snippet(F.col("text"), F.col("p")).alias("snippet"))
+
+
+# --- similarity ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM n a JOIN n b ON a.p_name < b.p_name""")
+def jaro_winkler_pairs(spark, sf):
+    n = I.table(spark, sf, "part").select("p_name").distinct()
+    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(S.jaro_winkler(S.BYTES)(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query(f"WITH {I.VECTORS} SELECT a.vector_id AS a, b.vector_id AS b, round(1 - list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) + 0.0 AS distance FROM vectors a JOIN vectors b ON a.type = b.type AND a.vector_id < b.vector_id WHERE a.vector_id % 10 = 0")
+def cosine_pairs(spark, sf):
+    v = I.vectors(spark, sf)
+    a = v.where("vector_id % 10 = 0").select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"), S.norm(F.col("vector")).alias("nx"))
+    b = v.select(F.col("vector_id").alias("b"), "type", F.col("vector").alias("y"), S.norm(F.col("vector")).alias("ny"))
+    distance = S.cosine_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
+    return a.join(b, "type").where("a < b").select("a", "b", (F.round(distance, 6) + 0.0).alias("distance"))
+
+
+_JW_SQL = f"""WITH {I.ENTITIES}, m AS (SELECT p_partkey AS mention_id, p_name AS name, substr(p_brand, 1, 7) AS type FROM part),
+names AS (SELECT DISTINCT type, name FROM m), known AS (SELECT DISTINCT type, name FROM entities),
+hits AS (SELECT n.type, n.name, k.name AS other, jaro_winkler_similarity(n.name, k.name) AS score FROM names n JOIN known k ON n.type = k.type WHERE jaro_winkler_similarity(n.name, k.name) >= 0.85)
+SELECT m.mention_id, e.entity_id, e.name, CAST(row_number() OVER (PARTITION BY m.mention_id ORDER BY {{}} e.entity_id) AS INTEGER) AS pos
+FROM m JOIN hits h ON m.type = h.type AND m.name = h.name JOIN entities e ON e.type = h.type AND e.name = h.other QUALIFY pos <= 5"""
+
+
+def _part_mentions(spark, sf) -> DataFrame:
+    return I.table(spark, sf, "part").select(F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("name"), F.substring("p_brand", 1, 7).alias("type"))
+
+
+@query(_JW_SQL.format("e.founded,"))
+def jw_candidates(spark, sf):
+    return C.name_candidates(_part_mentions(spark, sf), I.entities(spark, sf), variant=S.BYTES)
+
+
+@query(_JW_SQL.format("round(h.score, 9) DESC,"))
+def jw_candidates_by_score(spark, sf):
+    pairs = C.similar_names(_part_mentions(spark, sf), I.entities(spark, sf), variant=S.BYTES)
+    m, e = _part_mentions(spark, sf), I.entities(spark, sf)
+    ranked = Window.partitionBy("mention_id").orderBy(F.desc(F.round("score", 9)), "entity_id")
+    rows = m.join(pairs, ["type", "name"]).join(e.select("type", F.col("name").alias("other"), "entity_id"), ["type", "other"])
+    return rows.withColumn("pos", F.row_number().over(ranked)).where("pos <= 5").select("mention_id", "entity_id", F.col("other").alias("name"), "pos")
+
+
+_KNN_SQL = f"""WITH {I.VECTORS}, d AS (SELECT q.vector_id AS query_id, v.vector_id,
+  round(1 - list_dot_product(q.vector, v.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(v.vector, v.vector))), 6) + 0.0 AS distance
+  FROM vectors q JOIN vectors v ON q.type = v.type WHERE q.vector_id % 7 = 0)
+SELECT query_id, vector_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vector_id) AS INTEGER) AS rank FROM d QUALIFY rank <= {{}}"""
+
+
+def _knn(spark, sf, how, k):
+    v = I.vectors(spark, sf)
+    rows = how(v.where("vector_id % 7 = 0").withColumnRenamed("vector_id", "query_id"), v, k)
+    return rows.withColumn("distance", F.col("distance") + 0.0)
+
+
+@query(_KNN_SQL.format(5))
+def knn_mentions(spark, sf):
+    return _knn(spark, sf, C.nearest, 5)
+
+
+@query(_KNN_SQL.format(3))
+def knn_mentions_native(spark, sf):
+    return _knn(spark, sf, C.nearest_native, 3)
+
+
+@query(f"WITH {I.VECTORS} SELECT vector_id AS query_id, vector_id, true AS is_self FROM vectors")
+def self_nearest(spark, sf):
+    """Every vector's nearest one by squared distance is itself."""
+    v = I.vectors(spark, sf)
+    a = v.select(F.col("vector_id").alias("query_id"), "type", F.col("vector").alias("x"))
+    pairs = a.join(v, "type").withColumn("d", F.round(S.squared_distance(F.col("x"), F.col("vector")), 6))
+    best = pairs.groupBy("query_id").agg(F.min(F.struct("d", "vector_id")).alias("b"))
+    return best.select("query_id", "b.vector_id", (F.col("b.d") < 1e-4).alias("is_self"))
+
+
+@query(f"""WITH {I.ENTITIES}, h AS ({_KNN_SQL.format(5)})
+SELECT h.query_id, h.vector_id, e.name FROM h LEFT JOIN entities e ON e.entity_id = 'e' || h.vector_id""")
+def mention_entity_names(spark, sf):
+    hits = _knn(spark, sf, C.nearest, 5).withColumn("entity_id", F.concat(F.lit("e"), "vector_id"))
+    return hits.join(I.entities(spark, sf).select("entity_id", "name"), "entity_id", "left").select("query_id", "vector_id", "name")
+
+
+@query(f"""WITH {I.PARTS}, q AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS a, CASE WHEN b.p_partkey % 13 <> 0 THEN b.roled END AS b FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
+SELECT x, y FROM q WHERE b IS NULL OR {_GENERIC_SQL.format("a")} OR {_GENERIC_SQL.format("b")} OR {_SHARES_SQL} OR {_ACRONYM_SQL}""")
+def embedding_prefilter(spark, sf):
+    p = I.parts(spark, sf)
+    a = p.where("p_partkey < 200").select(F.col("p_partkey").alias("x"), F.col("roled").alias("a"))
+    b = p.select(F.col("p_partkey").alias("y"), F.when(F.col("p_partkey") % 13 != 0, F.col("roled")).alias("b"))
+    pairs = a.join(b, F.col("x") % 97 == F.col("y") % 89)
+    return pairs.where(T.keep_context_match(F.col("a"), F.col("b"))).select("x", "y")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS mention_id, 'e' || l_partkey AS entity_id, 0 AS channel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem WHERE l_linenumber <= 3
+UNION ALL SELECT l_orderkey, 'e' || l_partkey, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) FROM lineitem WHERE l_linenumber >= 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY mention_id, entity_id ORDER BY channel, pos) AS n FROM c),
+r AS (SELECT mention_id, entity_id, channel, row_number() OVER (PARTITION BY mention_id ORDER BY channel, pos, entity_id) AS pos FROM f WHERE n = 1)
+SELECT mention_id, CAST(pos AS INTEGER) AS pos, entity_id, CASE channel WHEN 0 THEN 'jaro_winkler' ELSE 'embedding' END AS source FROM r WHERE pos <= 5""")
+def union_candidates(spark, sf):
+    li = I.table(spark, sf, "lineitem")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    rows = lambda where: li.where(where).select(F.col("l_orderkey").alias("mention_id"), F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.lit("n").alias("name"), F.lit("c").alias("chunk_id"), F.lit("s").alias("snippet"), pos.alias("pos"))
+    found = C.union_candidates(rows("l_linenumber <= 3"), rows("l_linenumber >= 2"))
+    return found.select("mention_id", F.explode("candidates").alias("c")).select("mention_id", "c.pos", "c.entity_id", "c.source")
+
+
+# --- judgment --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {I.VERDICTS}, {I.ENTITIES}, edges AS (SELECT 'e' || ps AS entity_id, 'c' || su AS chunk_id, min(ln) AS role FROM (SELECT l_partkey AS ps, l_suppkey AS su, l_linenumber AS ln FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY 1, 2),
+c AS (SELECT mention_id, pos, entity_id, CASE WHEN pos % 3 = 0 THEN 'given' END AS name, CASE WHEN l_suppkey % 4 <> 0 THEN 'c' || l_suppkey END AS chunk_id FROM verdicts),
+{I.FILINGS}, x AS (SELECT 'c' || o_orderkey AS chunk_id, o_orderstatus FROM filings WHERE o_orderkey < 60)
+SELECT c.mention_id, CAST(c.pos AS INTEGER) AS pos, c.entity_id, coalesce(c.name, e.name) AS name, CAST(g.role AS VARCHAR) AS role, x.o_orderstatus AS status
+FROM c LEFT JOIN entities e ON c.entity_id = e.entity_id LEFT JOIN edges g ON c.entity_id = g.entity_id AND c.chunk_id = g.chunk_id LEFT JOIN x ON c.chunk_id = x.chunk_id""")
+def enrich_candidates(spark, sf):
+    v = I.verdicts(spark, sf)
+    chunk = F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("c"), "l_suppkey"))
+    cand = v.select("mention_id", "pos", "entity_id", F.when(F.col("pos") % 3 == 0, "given").alias("name"), chunk.alias("chunk_id"))
+    li = I.table(spark, sf, "lineitem").where("l_partkey % 2 = 0")
+    edges = li.groupBy(F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.concat(F.lit("c"), "l_suppkey").alias("chunk_id")).agg(F.min("l_linenumber").cast("string").alias("role"))
+    facts = I.filings(spark, sf).where("o_orderkey < 60").select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), F.array("o_orderstatus").alias("docket_numbers"), F.array("text").alias("dates"))
+    rows = judgment.enrich(cand, I.entities(spark, sf), edges.withColumn("textual_evidence", F.lit("t")), facts)
+    return rows.select("mention_id", "pos", "entity_id", "name", "role", F.try_element_at("docket_numbers", F.lit(1)).alias("status"))
+
+
+@query(f"""WITH {I.PARTS} SELECT p_partkey, (p_partkey % 5 + 1) || '. name: ' || CASE WHEN p_partkey % 4 = 0 THEN '(unknown)' ELSE p_name END
+  || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '   matched context: "' || long_name || '"' ELSE '' END
+  || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '   role in that mention: ' || type || chr(10) || '   textual evidence: "' || evidence || '"' ELSE '' END
+  || CASE WHEN p_partkey % 7 = 0 THEN chr(10) || '   docket numbers in that chunk: ["' || p_partkey || '"]' || chr(10) || '   dates in that chunk: []' ELSE '' END AS facts FROM parts""")
+def candidate_facts(spark, sf):
+    k = F.col("p_partkey")
+    some = lambda n, c: F.when(k % n == 0, c)
+    text = judgment.facts_text(
+        k % 5 + 1, F.when(k % 4 != 0, F.col("p_name")), some(3, F.col("long_name")), some(2, F.col("type")), F.col("evidence"), some(7, F.array(k.cast("string"))), some(7, F.array().cast("array<string>"))
+    )
+    return I.parts(spark, sf).select("p_partkey", text.alias("facts"))
+
+
+@query(f"""WITH {I.VERDICTS}, g AS (SELECT mention_id, count(*) AS n FROM verdicts GROUP BY 1)
+SELECT v.mention_id, CAST(v.pos AS INTEGER) AS pos, v.entity_id, v.verdict FROM verdicts v JOIN g USING (mention_id) WHERE v.mention_id % 4 <> 0 OR n = 1""")
+def zip_judgments(spark, sf):
+    v = I.verdicts(spark, sf)
+    rows = v.groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("pos", "entity_id", "verdict"))).alias("all"))
+    answers = F.transform("all", lambda x: F.struct(x["verdict"].alias("verdict")))
+    # every fourth mention gets one answer only: with more candidates that is an error
+    answers = F.when(F.col("mention_id") % 4 == 0, F.slice(answers, 1, 1)).otherwise(answers)
+    zipped = rows.select("mention_id", F.explode(judgment.zip_judgments(F.col("all"), answers)).alias("z"))
+    return zipped.select("mention_id", "z.candidate.pos", "z.candidate.entity_id", "z.judgment.verdict")
+
+
+@query(f"""WITH {I.PARTS}, r AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS mention_name, b.roled AS name, CASE WHEN b.p_partkey % 3 = 0 THEN 'jaro_winkler' ELSE 'embedding' END AS source,
+  CASE WHEN b.p_partkey % 5 < 3 THEN 'same' ELSE 'different' END AS verdict FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
+SELECT x, y, CASE WHEN verdict = 'same' AND source <> 'jaro_winkler' AND NOT {_GENERIC_SQL.format("mention_name")} AND NOT {_GENERIC_SQL.format("name")} AND jaro_winkler_similarity(mention_name, name) < 0.6 THEN 'unsure' ELSE verdict END AS verdict FROM r""")
+def false_merge_guard(spark, sf):
+    p = I.parts(spark, sf)
+    a = p.where("p_partkey < 200").select(F.col("p_partkey").alias("x"), F.col("roled").alias("mention_name"))
+    k = F.col("p_partkey")
+    b = p.select(k.alias("y"), F.col("roled").alias("name"), F.when(k % 3 == 0, "jaro_winkler").otherwise("embedding").alias("source"), F.when(k % 5 < 3, "same").otherwise("different").alias("verdict"), F.lit("r").alias("reason"))
+    return judgment.guard_rows(a.join(b, F.col("x") % 97 == F.col("y") % 89), variant=S.BYTES).select("x", "y", "verdict")
+
+
+@query(f"WITH {I.VERDICTS} SELECT mention_id, arg_min(entity_id, pos) FILTER (WHERE verdict = 'same') AS merged_into, CASE WHEN count(*) FILTER (WHERE verdict = 'same') > 0 THEN 0 ELSE CAST(count(*) FILTER (WHERE verdict = 'unsure') AS INTEGER) END AS n_flags FROM verdicts GROUP BY 1")
+def resolve_verdict(spark, sf):
+    return judgment.outcome(I.verdicts(spark, sf)).select("mention_id", "merged_into", F.size("flags").alias("n_flags"))
+
+
+@query(f"""WITH {I.VERDICTS}, s AS (SELECT DISTINCT mention_id FROM verdicts WHERE verdict = 'same')
+SELECT 'm' || mention_id AS src_entity_id, entity_id AS dst_entity_id, reason, 'pending_review' AS status FROM verdicts WHERE verdict = 'unsure' AND mention_id NOT IN (SELECT mention_id FROM s)""")
+def possible_duplicate_edges(spark, sf):
+    found = judgment.outcome(I.verdicts(spark, sf)).withColumn("entity_id", F.concat(F.lit("m"), "mention_id"))
+    return judgment.flag_edges(found).drop("flagged_at")
+
+
+@query("""WITH j AS (SELECT c_custkey AS chunk_id, o_orderkey AS entity_index, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey)
+SELECT chunk_id, bool_and(CASE WHEN entity_index IS NULL THEN true ELSE o_orderstatus <> 'P' AND entity_index % 50 <> 0 END) AS complete FROM j GROUP BY 1""")
+def chunk_completion(spark, sf):
+    orders = I.table(spark, sf, "orders").select(F.col("o_custkey").alias("chunk_id"), F.col("o_orderkey").alias("entity_index"), "o_orderstatus")
+    jobs = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("chunk_id")).join(orders, "chunk_id", "left").select("chunk_id", "entity_index")
+    results = orders.where("entity_index % 50 <> 0").select("chunk_id", "entity_index", (F.col("o_orderstatus") != "P").alias("ok"))
+    return judgment.completion(jobs, results)
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS processed, count(*) FILTER (WHERE o_orderstatus = 'O') AS skipped, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed FROM orders")
+def run_counters(spark, sf):
+    s = F.col("o_orderstatus")
+    status = F.when(s == "F", "processed").when(s == "O", "skipped").when(s == "P", "failed")
+    return judgment.counters(I.table(spark, sf, "orders").select(status.alias("status")))
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS run, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'done' ELSE 'error' END AS type FROM events)
+SELECT run, count(*) FILTER (WHERE type = 'start') AS started, count(*) FILTER (WHERE type = 'done') AS done, count(*) FILTER (WHERE type = 'error') AS failed,
+round(count(*) FILTER (WHERE type <> 'start') / greatest(count(*) FILTER (WHERE type = 'start'), 1)::DOUBLE, 6) AS share FROM e GROUP BY 1""")
+def upload_progress(spark, sf):
+    k = F.col("event_id") % 3
+    kind = F.when(k == 0, "start").when(k == 1, "done").otherwise("error")
+    return ingest.upload_progress(I.table(spark, sf, "events").select((F.col("user_id") % 20).alias("run"), kind.alias("type")))
+
+
+# --- resolution ------------------------------------------------------------------------------------------------------
+
+
+def _mentions(spark, sf, variants: bool = True) -> DataFrame:
+    """A mention per part name and brand, with a context vector."""
+    rows = I.entities(spark, sf)
+    name = F.when(F.substring("founded", -1, 1).isin("3", "7"), F.concat("name", F.lit("s"))).otherwise(F.col("name")) if variants else F.col("name")
+    rows = rows.select(
+        F.concat(F.lit("f"), F.substring("founded", -2, 2)).alias("source_file"), F.col("founded").cast("int").alias("chunk_index"), F.lit(0).alias("entity_index"), name.alias("name"), "type",
+        F.lit("none").alias("role"), F.col("name").alias("textual_evidence"), F.lit("explicit").alias("confidence"), F.col("name").alias("mention_text"), F.concat(F.lit("seen: "), "name").alias("snippet"),
+    ).withColumn("chunk_id", F.concat_ws("_", "source_file", "chunk_index"))
+    return resolution.mention_rows(C.embed(rows, HashingEmbedder()))
+
+
+@query()
+def resolve_fold(spark, sf):
+    """The exact sequential fold over a mention per name and brand."""
+    return resolution.fold(_mentions(spark, sf), RuleJudge()).select("mention_id", "type", "entity_id", "is_new", F.size("flags").alias("n_flags"))
+
+
+@query()
+def resolve_micro_batches(spark, sf):
+    """Micro-batches, then the clean-up among the entities: the entity of every mention."""
+    graph = resolution.Graph(spark, f"{shared_dir(spark)}/{tempfile.mkdtemp(prefix='graph-', dir='/tmp').rsplit('/', 1)[-1]}")
+    mentions = materialize(_mentions(spark, sf), "mentions")
+    resolution.resolve_batches(mentions, graph, RuleJudge(), max(1, mentions.count() // 3 + 1))
+    roots = materialize(resolution.clean_up(graph.read("entities"), RuleJudge()), "roots")
+    return resolution.repoint(graph.read("mentioned_in").select("chunk_id", "entity_index", "entity_id"), roots, "entity_id").select("chunk_id", "entity_index", "entity_id")
+
+
+@query(f"""WITH {I.ENTITIES} SELECT e.type, count(*) AS n_mentions, count(DISTINCT e.name) AS n_names FROM entities e GROUP BY 1""")
+def resolve_bulk_exact_names(spark, sf):
+    """With a threshold of 1 the bulk forest is grouping by name: roots per type are its distinct names."""
+    found = resolution.resolve_bulk(_mentions(spark, sf, variants=False), threshold=1.0)
+    return found.groupBy("type").agg(F.count("*").alias("n_mentions"), F.count_distinct("entity_id").alias("n_names"))
+
+
+@query()
+def resolve_bulk(spark, sf):
+    return resolution.resolve_bulk(_mentions(spark, sf))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+
+def _acl_chunks(spark, sf) -> DataFrame:
+    k = F.col("vec_id")
+    groups = F.when(k % 3 == 0, F.array(F.lit("staff"))).when(k % 3 == 1, F.array(F.lit("legal"), F.lit("staff"))).otherwise(F.array().cast("array<string>"))
+    return I.table(spark, sf, "embeddings").select(k.alias("chunk_id"), F.col("embedding").alias("vector"), groups.alias("acl_groups"))
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 3 = 1")
+def acl_filter(spark, sf):
+    return retrieval.visible(_acl_chunks(spark, sf), ["legal"]).select("chunk_id")
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 10 IN (2, 5)")
+def acl_table(spark, sf):
+    rows = _acl_chunks(spark, sf).withColumn("acl_id", F.col("chunk_id") % 10)
+    acl = spark.createDataFrame([(2, "legal"), (5, "legal"), (5, "staff"), (7, "staff")], "acl_id long, group string")
+    return retrieval.visible_by_table(rows, acl, ["legal"]).select("chunk_id")
+
+
+@query(f"""WITH {I.VECTORS}, d AS (SELECT q.vector_id AS query_id, v.vector_id AS chunk_id,
+  round(1 - list_dot_product(q.vector, v.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(v.vector, v.vector))), 6) + 0.0 AS distance
+  FROM vectors q CROSS JOIN vectors v WHERE q.vector_id % 25 = 0 AND v.vector_id % 3 = 1)
+SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5""")
+def acl_search(spark, sf):
+    """Rights are applied before the ranking, so everyone gets five hits that they may see."""
+    chunks = _acl_chunks(spark, sf)
+    queries = chunks.where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return retrieval.search(queries, chunks, ["legal"]).withColumn("distance", F.col("distance") + 0.0)
+
+
+@query(f"""WITH {I.VECTORS}, d AS (SELECT q.vector_id AS query_id, v.vector_id AS chunk_id,
+  round(1 - list_dot_product(q.vector, v.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(v.vector, v.vector))), 6) AS distance
+  FROM vectors q CROSS JOIN vectors v WHERE q.vector_id % 25 = 0), h AS (SELECT query_id, chunk_id FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 5),
+{I.ENTITIES}, n AS (SELECT DISTINCT l_orderkey AS chunk_id, 'e' || l_partkey AS entity_id FROM lineitem), f AS (SELECT chunk_id, count(DISTINCT (type, name)) AS n FROM n JOIN entities USING (entity_id) GROUP BY 1)
+SELECT h.query_id, h.chunk_id, CAST(f.n AS INTEGER) AS n_entities FROM h LEFT JOIN f USING (chunk_id)""")
+def retrieval_answer_facts(spark, sf):
+    chunks = _acl_chunks(spark, sf)
+    hits = retrieval.search(chunks.where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), chunks)
+    edges = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("e"), "l_partkey").alias("entity_id"))
+    rows = retrieval.answer_facts(hits, edges, I.entities(spark, sf))
+    return rows.select("query_id", "chunk_id", F.when(F.col("entities").isNotNull(), F.size("entities")).alias("n_entities"))
+
+
+@query("""WITH e AS (SELECT DISTINCT c_custkey AS src, 100000 + c_nationkey AS dst FROM customer WHERE c_custkey % 3 <> 2), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+h0 AS (SELECT 1 AS node), h1 AS (SELECT DISTINCT b.dst AS node FROM h0 JOIN b ON node = src WHERE b.dst NOT IN (SELECT node FROM h0)),
+h2 AS (SELECT DISTINCT b.dst AS node FROM h1 JOIN b ON node = src WHERE b.dst NOT IN (SELECT node FROM h0) AND b.dst NOT IN (SELECT node FROM h1))
+SELECT CAST(node AS BIGINT) AS node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
+def graph_hops(spark, sf):
+    c = I.table(spark, sf, "customer")
+    groups = F.when(F.col("c_custkey") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("staff")))
+    edges = c.select(F.col("c_custkey").alias("src"), (F.lit(100000) + F.col("c_nationkey")).cast("long").alias("dst"), groups.alias("acl_groups"))
+    return retrieval.hops(spark.createDataFrame([(1,)], "node long"), edges, ["staff"])
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?:^|[^0-9])[0-9]{13,19}(?:[^0-9]|$)') OR regexp_matches(text, '(?:^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9]|$)') OR regexp_matches(text, '(?i)(?:password|token|api_key)\s*[:=]\s*\S+') AS leak FROM documents""")
+def output_screening(spark, sf):
+    return retrieval.screened(I.table(spark, sf, "documents")).select("doc_id", "leak")
+
+
+@query(f"""WITH {I.VECTORS}, d AS (SELECT q.vector_id AS query_id, v.vector_id AS chunk_id,
+  round(1 - list_dot_product(q.vector, v.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(v.vector, v.vector))), 6) AS distance
+  FROM vectors q CROSS JOIN vectors v WHERE q.vector_id % 25 = 0), h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM d QUALIFY r <= 5)
+SELECT query_id, 'u1' AS "user", list(chunk_id ORDER BY r) AS chunk_ids FROM h GROUP BY 1""")
+def audit_rows(spark, sf):
+    chunks = _acl_chunks(spark, sf)
+    hits = retrieval.search(chunks.where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), chunks)
+    return retrieval.audit(hits, "u1").drop("at")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'password=') OR contains(text, 'token = ')")
+def canary_leaks(spark, sf):
+    return retrieval.canary_leaks(I.table(spark, sf, "documents"), ["password=", "token = "]).select("doc_id")

@@ -17,7 +17,7 @@ class Variant:
 
     unit: str = "character"
     halve: str = "exact"
-    boost_above: float = 0.0
+    boost_above: float = 0.7
     scale: float = 0.1
     prefix: int = 4
 

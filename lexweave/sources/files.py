@@ -30,7 +30,8 @@ def text_pages(content: bytes) -> list[str]:
 def list_files(spark: SparkSession, folder: str, glob: str = PDF_GLOB, limit: int | None = None) -> DataFrame:
     """Paths of the folder's files, in order, the first ``limit`` if given; contents aren't read."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "modificationTime", "length")
-    return rows.orderBy("path").limit(limit) if limit else rows
+    rows = rows.orderBy("path")
+    return rows.limit(limit) if limit else rows
 
 
 def latest_by_name(files: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ from lexweave.llm.common import arrow_batches, materialize
 
 SEQ_LEN = 1024
 END_ID = 2
-#: Rows of one length are ranked within this many salted groups, so no group grows to one task.
-SALTS = 256
+#: Rows of one length are ranked within salted groups of about this many, so no group grows with the data.
+GROUP_ROWS = 1_000_000
+#: Starts of these groups are broadcast up to so many rows.
+BROADCAST_GROUPS = 500_000
 #: Limits of the search; the best-fit solution stands where they end it.
 NODES, FILLINGS = 20_000, 12
 
@@ -169,31 +171,40 @@ def bin_completion(counts: dict[int, int], room: int = SEQ_LEN, nodes: int = NOD
 
     The best-fit solution is the first incumbent. A branch ends once its waste shows that it can't beat the incumbent;
     the search ends at the lower bound, or after ``nodes`` nodes, keeping the incumbent. Its cost doesn't depend on
-    the number of documents, as equal bins are filled together.
+    the number of documents, as equal bins are filled together. One histogram is changed and restored along the path,
+    so memory grows with the depth only.
     """
-    counts = {n: c for n, c in counts.items() if c}
-    total, best = sum(n * c for n, c in counts.items()), best_fit(counts, room)
-    bins, floor, seen = sum(t for _, t in best), lower_bound(counts, room), 0
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and seen < nodes and bins > floor:
-        left, plan, used, waste = stack.pop()
-        seen += 1
-        if not left:
-            if used < bins:
-                best, bins = plan, used
-            continue
-        if math.ceil((total + waste) / room) >= bins:
+    left = {n: c for n, c in counts.items() if c}
+    total, best = sum(n * c for n, c in left.items()), best_fit(left, room)
+    bins, floor, seen = sum(t for _, t in best), lower_bound(left, room), 0
+    path: Plan = []
+    used = waste = 0
+    open_ = [iter(fillings(left, room))] if left else []
+    while open_ and seen < nodes and bins > floor:
+        filling = next(open_[-1], None)
+        if filling is None:
+            open_.pop()
+            if path:
+                last, times = path.pop()
+                _restore(left, last, times)
+                used, waste = used - times, waste - times * (room - sum(n * k for n, k in last))
             continue
-        branches = []
-        for filling in fillings(left, room):
-            after = dict(left)
-            times = _apply(after, filling)
-            spare = room - sum(n * k for n, k in filling)
-            branches.append((after, [*plan, (filling, times)], used + times, waste + times * spare))
-        stack += reversed(branches)
+        seen += 1
+        times = _apply(left, filling)
+        path.append((filling, times))
+        used, waste = used + times, waste + times * (room - sum(n * k for n, k in filling))
+        if not left and used < bins:
+            best, bins = list(path), used
+        go_on = left and math.ceil((total + waste) / room) < bins
+        open_.append(iter(fillings(left, room) if go_on else ()))
     return best
 
 
+def _restore(counts: dict[int, int], filling: tuple[tuple[int, int], ...], times: int) -> None:
+    for n, k in filling:
+        counts[n] = counts.get(n, 0) + k * times
+
+
 def runs(plan: Plan) -> list[tuple[int, int, int, int]]:
     """(length, first rank, first sequence, offset) of each slot of the plan, sorted: ranks count pieces of one length."""
     at: dict[int, int] = {}
@@ -216,17 +227,16 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = SEQ_LEN, end_id: int =
     gives no rows, and other columns are ignored. Every piece lies in exactly one sequence, gapless from 0.
     """
     cuts = materialize(pieces(docs, vocabulary, seq_len, end_id), "pieces")
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    tally = salted.groupBy("length", "_salt").count()
-    counts = {r[0]: r[1] for r in tally.groupBy("length").sum("count").collect()}  # at most seq_len rows
+    counts = dict(cuts.groupBy("length").count().collect())  # at most seq_len rows
     plan = np.array(runs(bin_completion(counts, seq_len)), dtype=np.int64).reshape(-1, 4)
+    salts = max(8, math.ceil(max(counts.values(), default=0) / GROUP_ROWS))
+    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     # ranks: within the salted group by sorting, then past the groups before it
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tally.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    starts = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(
-        F.broadcast(starts) if seq_len * SALTS <= 500_000 else starts, ["length", "_salt"]
-    )
+    starts = F.broadcast(starts) if seq_len * salts <= BROADCAST_GROUPS else starts
+    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
     # the plan has a bounded number of runs, whatever the number of documents, and travels with the function
     key_room = 1 << 44

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most this many rows (of a few fixed-width columns each) may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,18 +56,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataF
     return (F.broadcast(df) if small else df), small
 
 
+def _print(edges: DataFrame) -> tuple:
+    """A fingerprint of a set of edges: their number and the xor of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, root)`` with the smallest id of each component as root.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Each round joins and aggregates by key, is
-    written to the shared folder, and hot nodes are combined map-side before the shuffle; no task and no driver
-    holds a whole component. Null ends and loops are ignored.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until a round changes nothing. Each round joins
+    and aggregates by key, is written to the shared folder, and hot nodes are combined map-side before the shuffle; no
+    task and no driver holds a whole component. Null ends and loops are ignored.
     """
     now = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-        label,
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
     )
-    while True:
+    was = _print(now)
+    while was[0]:
         # large-star: every neighbour above the node goes to the smallest of the node and its neighbours
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -75,10 +80,10 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         # small-star: a node's smaller neighbours, and the node, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialize(small.union(least.select("a", "m")).where("a <> b").distinct(), label)
-        changed = after.exceptAll(now).limit(1).count() or now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        now = materialize(small.union(least.select("a", "m")).where("a <> b").distinct(), label)
+        is_ = _print(now)
+        if is_ == was:
             break
+        was = is_
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -36,23 +36,28 @@ _MARKS = NAME + NUMBER + UNIT + POINT
 _SLOT = f"^[{NAME}{NUMBER}{UNIT}]"
 
 
-def marked(text: Column) -> Column:
-    """The text's words with single spaces between them; each slot begins with its mark. Empty for null or no word.
+# Each step is a column of its own: an expression that is used more than once would be evaluated as often.
 
-    A name is a capitalised word of two letters or more after a lower-case word, a name or a comma; a number has digits
-    with points or commas inside; a unit follows a number, perhaps without a space.
+
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows(text, ...)`` with ``m``: the words with single spaces between them, each slot beginning with its mark.
+
+    Empty for null or no word. A name is a capitalised word of two letters or more after a lower-case word, a name or a
+    comma; a number has digits with points or commas inside; a unit follows a number, perhaps without a space.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), _MARKS, " " * len(_MARKS))
-    t = F.lower(F.regexp_replace(t, r"([\p{Ll},]) (?=\p{Lu}\p{Ll})", f"$1 {NAME}"))
-    n = F.regexp_replace(t, r"(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*)", f"{NUMBER}$1")
+    m = F.col("m")
+    rows = rows.withColumn("m", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("m", F.when(m.rlike(f"[{_MARKS}]"), F.translate(m, _MARKS, " " * len(_MARKS))).otherwise(m))
+    rows = rows.withColumn("m", F.lower(F.regexp_replace(m, r"([\p{Ll},]) (?=\p{Lu}\p{Ll})", f"$1 {NAME}")))
+    n = F.regexp_replace(m, r"(?<![\p{L}0-9])([0-9]+(?:[.,][0-9]+)*)", f"{NUMBER}$1")
     n = F.regexp_replace(n, rf"({NUMBER}[0-9.,]*[0-9]) ?({'|'.join(UNITS)})(?![\p{{L}}0-9])", f"$1 {UNIT}$2")
     n = F.regexp_replace(n, r"(?<=[0-9])[.,](?=[0-9])", POINT)
-    t = F.when(t.rlike("[0-9]"), n).otherwise(t)
-    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{_MARKS}]+", " "))
+    rows = rows.withColumn("m", F.when(m.rlike("[0-9]"), n).otherwise(m))
+    return rows.withColumn("m", F.trim(F.regexp_replace(m, rf"[^\p{{L}}\p{{N}}{_MARKS}]+", " ")))
 
 
 def _split(words: Column) -> Column:
-    return F.filter(F.split(words, " ", -1), lambda w: w != "")
+    return F.when(words != "", F.split(words, " ", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def template(words: Column) -> Column:
@@ -60,24 +65,48 @@ def template(words: Column) -> Column:
     return F.regexp_replace(words, f"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1")
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(_split(template(words)), lambda w: F.xxhash64(w))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows(m, ...)`` with ``h``: a hash per template token."""
+    slots = F.col("m").rlike(f"[{NAME}{NUMBER}{UNIT}]")
+    rows = rows.withColumn("h", F.when(slots, template(F.col("m"))).otherwise(F.col("m")))
+    return rows.withColumn("h", F.transform(_split(F.col("h")), lambda w: F.xxhash64(w)))
 
 
-def _windows(n: Column) -> Column:
-    """Hashes of all windows of ``n`` of the column ``h``; none if it has fewer."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("h", i, n)))
-    return F.when(F.size("h") >= n, each).otherwise(F.array().cast("array<bigint>"))
+def _windowed(rows: DataFrame, n: int, to: str) -> DataFrame:
+    """``rows(h, ...)`` with the hashes of all windows of ``n`` in column ``to``; none if there are fewer tokens.
+
+    Spans double: a hash of two neighbouring spans is one of twice the length, and two spans that overlap make any
+    other length. So a window costs a logarithmic number of hashes.
+    """
+    rows, span = rows.withColumn(to, F.col("h")), 1
+    while span < n:
+        apart = span if span * 2 <= n else n - span
+        rest = F.greatest(F.size(to) - apart, F.lit(0))
+        rows = rows.withColumn(to, F.zip_with(F.slice(to, F.lit(1), rest), F.slice(to, F.lit(1 + apart), rest), lambda x, y: F.xxhash64(x, y)))
+        span += apart
+    return rows
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(g, n, item_id, at, words, size): every window of every item, as written and in lower case. Items without words give none."""
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    rows = rows.union(rows.select("item_id", F.lower("text"))).select("item_id", marked(F.col("text")).alias("m")).distinct()
-    rows = rows.select("item_id", _split(F.col("m")).alias("w"), _hashes(F.col("m")).alias("h")).where(F.size("w") > 0)
-    rows = rows.withColumn("n", F.least(F.size("w"), F.lit(window)))
-    rows = rows.select("item_id", "w", "n", F.posexplode(_windows(F.col("n"))).alias("at", "g"))
-    return rows.select("g", "n", "item_id", "at", F.slice("w", F.col("at") + 1, F.col("n")).alias("words"), F.size("w").alias("size"))
+    """(g, n, item_id, at, words, size): every window of every item. Items without words give none.
+
+    An item counts as written, as written within a sentence (where its first word may be a name), and in lower case.
+    """
+    given = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    inside = marked(given.withColumn("text", F.concat(F.lit("a "), "text"))).withColumn("m", F.regexp_replace("m", "^a ?", ""))
+    both = marked(given.union(given.withColumn("text", F.lower("text")))).select("item_id", "m")
+    rows = materialize(both.union(inside.select("item_id", "m")).distinct(), "items")
+    rows = materialize(_hashed(rows).select("item_id", "h", _split(F.col("m")).alias("w"), F.least(F.size("h"), F.lit(window)).alias("n")), "items")
+    lengths = sorted(r[0] for r in rows.select("n").distinct().collect() if r[0])  # at most ``window`` values
+    out = _placed(rows.where("n = 0"), window, "item_id", "w")
+    for n in lengths:
+        out = out.union(_placed(rows.where(F.col("n") == n), n, "item_id", "w"))
+    return out.select("g", "n", "item_id", "at", F.slice("w", F.col("at") + 1, F.col("n")).alias("words"), F.size("w").alias("size"))
+
+
+def _placed(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """A row per window of ``n``: the given columns, its place, hash and length."""
+    return _windowed(rows, n, "g").select(*columns, F.posexplode("g").alias("at", "g"), F.lit(n).alias("n"))
 
 
 def _join_windows(left: DataFrame, right: DataFrame, keys: list[str], bound: int) -> DataFrame:
@@ -101,14 +130,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most ``window`` values
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
     # first only hashes, to find the few documents that hold any window
-    hashed = texts.select("doc_id", "t", _hashes(marked(F.col("text"))).alias("h"))
-    every = F.concat(*(_windows(F.lit(n)) for n in lengths or [window]))
+    hashed = _hashed(marked(texts)).select("doc_id", "t", "h")
+    for n in lengths:
+        hashed = _windowed(hashed, n, f"g{n}")
+    every = F.concat(*(F.col(f"g{n}") for n in lengths)) if lengths else F.array().cast("array<bigint>")
     hits = _join_windows(hashed.select("doc_id", "t", F.explode(every).alias("g")), items.select("g").distinct(), ["g"], BROADCAST_HASHES)
     held = materialize(hits.select("doc_id", "t").distinct(), "held")
     # then the places and words behind the hits, in these documents only
-    found = texts.join(held, ["doc_id", "t"], "left_semi").select("doc_id", "t", marked(F.col("text")).alias("m")).distinct()
-    found = found.select("doc_id", "t", _split(F.col("m")).alias("w"), _hashes(F.col("m")).alias("h"))
-    places = reduce(DataFrame.union, [found.select("doc_id", "t", "w", F.posexplode(_windows(F.lit(n))).alias("d_at", "g"), F.lit(n).alias("n")) for n in lengths or [window]])
+    found = marked(texts.join(held, ["doc_id", "t"], "left_semi")).select("doc_id", "t", "m").distinct()
+    found = materialize(_hashed(found).select("doc_id", "t", _split(F.col("m")).alias("w"), "h"), "held-words")
+    places = reduce(DataFrame.union, [_placed(found, n, "doc_id", "t", "w").withColumnRenamed("at", "d_at") for n in lengths or [window]])
     wanted = items.select("g", "n").distinct()
     places = _join_windows(places, wanted, ["g", "n"], BROADCAST_HASHES).select(
         "doc_id", "t", "g", "n", "d_at", F.slice("w", F.col("d_at") + 1, F.col("n")).alias("d_words")

@@ -40,28 +40,38 @@ def _remove_written() -> None:
             return
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; counting stops at the bound. Else Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """``df`` and whether it has at most ``rows`` rows; then it is marked for broadcast. Counting stops at the bound."""
+    small = df.limit(rows + 1).count() <= rows
+    return (F.broadcast(df) if small else df), small
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Of a set of edges: their number and the xor of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, the smallest id of each component being its root.
+    """Connected components of ``edges(a, b)``: ``(node, root)`` with the smallest id of each component as root.
 
-    Every round passes each edge's lower label on and shortens paths (large-star, small-star); rounds are written out,
-    and hot nodes are pre-aggregated by the groupings' map side. Isolated nodes aren't listed.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until a round changes nothing. Each round joins
+    and aggregates by key, is written to the shared folder, and hot nodes are combined map-side before the shuffle; no
+    task and no driver holds a whole component. Null ends and loops are ignored; isolated nodes aren't listed.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    while True:
+    was = _fingerprint(now)
+    while was[0]:
+        # large-star: every neighbour above the node goes to the smallest of the node and its neighbours
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        rest = star.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialize(rest.union(least.select("a", "m")).where("a <> b").distinct(), label)
-        settled = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
-        now = after
-        if settled:
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # small-star: a node's smaller neighbours, and the node, go to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = materialize(small.union(least.select("a", "m")).where("a <> b").distinct(), label)
+        after = _fingerprint(now)
+        if after == was:
             break
+        was = after
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,47 +1,16 @@
-"""Shared plumbing of the training-data operators: durable intermediate tables, checked broadcasts, components."""
+"""Shared plumbing of the training-data operators: bounded Arrow batches and checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Tables of at most this many rows (of a few fixed-width columns each) may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+from lexweave import durable
+from lexweave.durable import components, materialize, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "arrow_batches", "broadcast_if_small", "components", "materialize", "shared_dir"]
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session may have ended before the interpreter
-            return
+#: Tables of at most this many rows (of a few fixed-width columns each) may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2_000, size: str = "32m") -> None:
@@ -51,39 +20,4 @@ def arrow_batches(spark: SparkSession, rows: int = 2_000, size: str = "32m") ->
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` marked for broadcast if it has at most ``rows`` rows. Counting stops at the bound."""
-    small = df.limit(rows + 1).count() <= rows
-    return (F.broadcast(df) if small else df), small
-
-
-def _print(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of edges: their number and the xor of their hashes."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
-
-
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """Connected components of ``edges(a, b)``: ``(node, root)`` with the smallest id of each component as root.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until a round changes nothing. Each round joins
-    and aggregates by key, is written to the shared folder, and hot nodes are combined map-side before the shuffle; no
-    task and no driver holds a whole component. Null ends and loops are ignored.
-    """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
-    )
-    was = _print(now)
-    while was[0]:
-        # large-star: every neighbour above the node goes to the smallest of the node and its neighbours
-        both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        # small-star: a node's smaller neighbours, and the node, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(least.select("a", "m")).where("a <> b").distinct(), label)
-        is_ = _print(now)
-        if is_ == was:
-            break
-        was = is_
-    roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return durable.broadcast_if_small(df, rows)

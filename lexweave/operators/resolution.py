@@ -180,15 +180,21 @@ def resolve_batch(mentions: DataFrame, graph: Graph, batch: int, judge: Judge, e
     return done.select("mention_id", "type", "entity_id", "is_new", F.coalesce("flags", F.array().cast("array<struct<entity_id:string,reason:string>>")).alias("flags"), "error")
 
 
-def resolve_batches(mentions: DataFrame, graph: Graph, judge: Judge, size: int, extractions: DataFrame | None = None, settings: Settings = Settings()) -> None:
-    """All mentions in order, ``size`` at a time. The driver sees only the number of batches."""
+def resolve_batches(mentions: DataFrame, graph: Graph, judge: Judge, size: int, extractions: DataFrame | None = None, settings: Settings = Settings(), first: int = 0) -> DataFrame | None:
+    """All mentions in order, ``size`` at a time, in batches numbered from ``first``. Returns the failed mentions' errors.
+
+    The driver sees only the number of batches.
+    """
     ordered = _keyed(mentions).drop("_new")
     bounds = ordered.select("_order").distinct()
     total = bounds.count()
     ranked = materialize(_global_rank(ordered), "ordered")
+    errors = None
     for batch in range(-(-total // size)):
         part = ranked.where((F.col("_rank") >= batch * size) & (F.col("_rank") < (batch + 1) * size)).drop("_rank", "_order")
-        resolve_batch(part, graph, batch, judge, extractions, settings)
+        failed = resolve_batch(part, graph, first + batch, judge, extractions, settings).where("error is not null").select("mention_id", "error")
+        errors = failed if errors is None else errors.union(failed)
+    return errors
 
 
 def _global_rank(rows: DataFrame) -> DataFrame:

@@ -483,6 +483,16 @@ def candidate_facts(spark, sf):
     return I.parts(spark, sf).select("p_partkey", text.alias("facts"))
 
 
+@query(f"""WITH {I.PARTS} SELECT p_partkey, 'New mention:' || chr(10) || '  name: ' || p_name || chr(10) || '  type: ' || type || chr(10) || '  textual evidence: "' || evidence || '"' || chr(10)
+  || '  docket numbers in this chunk: ["' || p_partkey || '"]' || chr(10) || '  dates in this chunk: []' || chr(10) || chr(10) || 'Candidates:' || chr(10) || '1. name: ' || cited || chr(10) || '2. name: (unknown)' AS prompt FROM parts""")
+def judgment_prompt(spark, sf):
+    none, dockets = F.array().cast("array<string>"), F.array(F.col("p_partkey").cast("string"))
+    empty = F.lit(None).cast("string")
+    block = lambda n, name: judgment.facts_text(F.lit(n), name, empty, empty, empty, F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"))
+    text = judgment.prompt(F.col("p_name"), F.col("type"), F.col("evidence"), dockets, none, F.array(block(1, F.col("cited")), block(2, empty)))
+    return I.parts(spark, sf).select("p_partkey", text.alias("prompt"))
+
+
 @query(f"""WITH {I.VERDICTS}, g AS (SELECT mention_id, count(*) AS n FROM verdicts GROUP BY 1)
 SELECT v.mention_id, CAST(v.pos AS INTEGER) AS pos, v.entity_id, v.verdict FROM verdicts v JOIN g USING (mention_id) WHERE v.mention_id % 4 <> 0 OR n = 1""")
 def zip_judgments(spark, sf):

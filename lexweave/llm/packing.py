@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,16 @@ NODES, FILLINGS = 20_000, 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(vocabulary: str):
+#: Runs of white space from this length on overflow the stack of the tokeniser's regular expressions.
+_LONG_SPACE = re.compile(r"\s{100000,}")
+
+
+@cache
+def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     """The byte-level BPE of a ``.tiktoken`` rank file, or of a ``.json`` file of the tokenizers library.
 
-    Both give the same ids for the same vocabulary. Control strings inside a text are ordinary text.
+    Both give the same ids for the same vocabulary. Control strings inside a text are ordinary text. A process loads a
+    vocabulary once.
     """
     if vocabulary.endswith(".json"):
         from tokenizers import Tokenizer
@@ -48,7 +56,20 @@ def encoder(vocabulary: str):
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if len(text) < 100_000 or not _LONG_SPACE.search(text):
+            return own.encode_ordinary(text)
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            # the pattern takes a run as one piece, but for its last sign if text follows
+            end = m.end() - (m.end() < len(text))
+            out += own.encode_ordinary(text[at : m.start()]) + own._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + own.encode_ordinary(text[at:])
+
+    return encode
 
 
 def cut(n: int, seq_len: int = SEQ_LEN) -> list[tuple[int, int]]:

@@ -109,10 +109,15 @@ def test_both_vocabularies_agree_on_all_texts(sf):
 
     a, b = P.encoder(RANKS), P.encoder(JSON)
     texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) < 4000 USING SAMPLE 150 ROWS (reservoir, 3)").fetchall()]
-    for t in [*texts, "", " ", "<|endoftext|>", "a\x00b 𝄞 é́ \n\n  x", "word" * 300, "     " * 50]:
+    for t in [*texts, "", " ", "<|endoftext|>", "a\x00b 𝄞 é́ \n\n  x", "word" * 300, "     " * 50, "a" + " " * 120_000 + "b" + "\n" * 110_000 + " c", " " * 100_001]:
         assert list(a(t)) == list(b(t))
 
 
+def test_endless_space():
+    ids = P.encoder(RANKS)("a" + " " * 3_000_000 + "b")
+    assert len(ids) == 3_000_001
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, length int, sequence_id string, _salt int"
     rows = [(1, None, 0, "x", 0), (2, "", 0, "x", 0), (None, "some words", 0, "x", 0), (3, "same text", 0, "x", 0), (3, "same text", 0, "x", 0), (4, "long " * 3000, 0, "x", 0)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     return add
 
 
-# --- scans -----------------------------------------------------------------------------------------------------------
+# scans
 
 
 @query(f"WITH {I.CHUNKS} SELECT chunk_id, source_file, chunk_index, text, word_count FROM chunks")
@@ -85,7 +85,7 @@ def pdf_only(spark, sf):
     return files.only_pdf(I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), name.alias("name")))
 
 
-# --- tables ----------------------------------------------------------------------------------------------------------
+# tables
 
 
 @query("""WITH old AS (SELECT source AS source_file, doc_id, n_chars FROM documents), new AS (SELECT source AS source_file, doc_id, n_chars + 1 AS n_chars FROM documents WHERE source IN ('src3', 'src4') AND doc_id % 2 = 0)
@@ -162,7 +162,7 @@ def erase_lineage(spark, sf):
     return tables.erase_source(edges, "doc8.pdf", rows.select("source_file", "chunk_id")).select("entity_id", "chunk_id")
 
 
-# --- chunking --------------------------------------------------------------------------------------------------------
+# chunking
 
 
 @query(f"WITH {I.CHUNKS} SELECT source_file, chunk_index, text, word_count FROM chunks")
@@ -209,10 +209,17 @@ def chunks_to_json(spark, sf):
     return rows.select("b.source_file", "b.chunk_count", F.aggregate("b.chunks.word_count", F.lit(0), lambda s, x: s + x).alias("words"))
 
 
-# --- patterns --------------------------------------------------------------------------------------------------------
+# patterns
 
-_DOCKET_SQL = r"list_distinct(regexp_extract_all(text, '(?i)\b(?:\d{1,2}:)?\d{2}-(?:cv|cr|md|mc)-\d{4,6}(?:-[A-Z]{2,4})?\b'))"
-_DATE_SQL = r"list_distinct(regexp_extract_all(text, '\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b(?:" + T.MONTHS + r")\s+\d{1,2},?\s+\d{4}\b'))"
+
+
+def _re2(pattern: str) -> str:
+    """A pattern of ``functions.text`` for an engine without look-around, whose word boundaries are ASCII."""
+    return pattern.replace(T._LEFT, r"\b").replace(T._RIGHT, r"\b")
+
+
+_DOCKET_SQL = f"list_distinct(regexp_extract_all(text, '{_re2(T.DOCKET)}'))"
+_DATE_SQL = f"list_distinct(regexp_extract_all(text, '{_re2(T.DATE)}'))"
 
 
 @query(f"WITH {I.FILINGS} SELECT o_orderkey, list_sort({_DOCKET_SQL}) AS docket_numbers FROM filings")
@@ -225,8 +232,7 @@ def dates(spark, sf):
     return I.filings(spark, sf).select("o_orderkey", F.array_sort(T.dates(F.col("text"))).alias("dates"))
 
 
-_NOISE_SQL = r"regexp_matches({}, '(?i)\bv\.\s|\bWL\s+\d|\bF\.\s?(2d|3d|Supp)|\bDep\.\s?Tr\.|\bDecl\.|\bExhibit\b|\bDE\s+\d|\bDocument\s+\d')"
-_KEPT_SQL = f"type <> 'reference' AND NOT {_NOISE_SQL.format('cited')} AND NOT {_NOISE_SQL.format('evidence')}"
+_KEPT_SQL = f"type <> 'reference' AND NOT regexp_matches(cited, '{_re2(T.NOISE)}') AND NOT regexp_matches(evidence, '{_re2(T.NOISE)}')"
 
 
 @query(f"WITH {I.PARTS} SELECT p_partkey, cited, type FROM parts WHERE {_KEPT_SQL}")
@@ -282,7 +288,7 @@ def model_extraction(spark, sf):
     return good.drop("extracted_at")
 
 
-# --- names -----------------------------------------------------------------------------------------------------------
+# names
 
 _GENERIC_SQL = r"(coalesce({0}, '') = '' OR regexp_matches({0}, '(?i)\b(" + "|".join(T.ROLE_WORDS) + r")\b'))"
 _TOKENS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -345,7 +351,7 @@ def mention_snippets(spark, sf):
     return I.located(spark, sf).withColumn("p", place).select("doc_id", T.snippet(F.col("text"), F.col("p")).alias("snippet"))
 
 
-# --- similarity ------------------------------------------------------------------------------------------------------
+# similarity
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM n a JOIN n b ON a.p_name < b.p_name""")
@@ -451,7 +457,7 @@ def union_candidates(spark, sf):
     return found.select("mention_id", F.explode("candidates").alias("c")).select("mention_id", "c.pos", "c.entity_id", "c.source")
 
 
-# --- judgment --------------------------------------------------------------------------------------------------------
+# judgment
 
 
 @query(f"""WITH {I.VERDICTS}, {I.ENTITIES}, edges AS (SELECT 'e' || ps AS entity_id, 'c' || su AS chunk_id, min(ln) AS role FROM (SELECT l_partkey AS ps, l_suppkey AS su, l_linenumber AS ln FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY 1, 2),
@@ -553,7 +559,7 @@ def upload_progress(spark, sf):
     return ingest.upload_progress(I.table(spark, sf, "events").select((F.col("user_id") % 20).alias("run"), kind.alias("type")))
 
 
-# --- resolution ------------------------------------------------------------------------------------------------------
+# resolution
 
 
 def _mentions(spark, sf, variants: bool = True) -> DataFrame:
@@ -576,7 +582,7 @@ def resolve_fold(spark, sf):
 @query()
 def resolve_micro_batches(spark, sf):
     """Micro-batches, then the clean-up among the entities: the entity of every mention."""
-    graph = resolution.Graph(spark, f"{shared_dir(spark)}/{tempfile.mkdtemp(prefix='graph-', dir='/tmp').rsplit('/', 1)[-1]}")
+    graph = resolution.Graph(spark, f"{shared_dir(spark)}/lexweave-graph-{uuid.uuid4().hex}")
     mentions = materialize(_mentions(spark, sf), "mentions")
     resolution.resolve_batches(mentions, graph, RuleJudge(), max(1, mentions.count() // 3 + 1))
     roots = materialize(resolution.clean_up(graph.read("entities"), RuleJudge()), "roots")
@@ -595,7 +601,7 @@ def resolve_bulk(spark, sf):
     return resolution.resolve_bulk(_mentions(spark, sf))
 
 
-# --- retrieval -------------------------------------------------------------------------------------------------------
+# retrieval
 
 
 def _acl_chunks(spark, sf) -> DataFrame:

@@ -26,7 +26,7 @@ FAILURES = "chunk_id string, entity_index int, entity_name string, error string,
 PROGRESS = "type string, file string, error string, total_words int, chunk_count int, timestamp timestamp"
 
 ENTITY_TYPES = ("person", "organization", "court", "reference")
-ROLES = ("plaintiff", "defendant", "counsel", "judge", "witness", "non_party", "other", "none")
+ROLES = tuple(sorted(("judge", "witness", "counsel", "defendant", "plaintiff", "non_party"))) + ("other", "none")
 CONFIDENCES = ("explicit", "resolved_from_context")
 VERDICTS = ("same", "different", "unsure")
 

@@ -28,6 +28,8 @@ LEVEL = 4
 WORDS = 1000
 #: A prediction is rejected if the second-best encoding is larger than the best by a smaller share than this.
 MIN_MARGIN = 0.005
+#: Bytes of the language's own text before a text, whose size is taken off again: short texts alone would not be compressed.
+SEED_BYTES = 300
 #: Steepness of the score in the margin.
 STEEP = 60.0
 
@@ -39,32 +41,41 @@ def words(text: str) -> list[str]:
     return list(dict.fromkeys(_NOT_LETTERS.sub(" ", text.lower()).split()))
 
 
+class Encoder:
+    """Sizes of texts under one language's dictionary, after a seed of the same language that isn't in it."""
+
+    def __init__(self, content: bytes):
+        import zstandard
+
+        cut = SEED_BYTES if len(content) > 4 * SEED_BYTES else 0
+        self.seed, content = content[len(content) - cut :], content[: len(content) - cut]
+        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        shared.precompute_compress(level=LEVEL)
+        self.encode = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self.alone = len(self.encode(self.seed)) if cut else 0
+
+    def size(self, blocks: list[bytes]) -> int:
+        first = len(self.encode(self.seed + b" " + blocks[0])) - self.alone if self.seed else len(self.encode(blocks[0]))
+        return max(1, first + sum(len(self.encode(b)) for b in blocks[1:]))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Raw-content dictionaries by language; may be empty, then every text is unknown."""
+    """Sampled text by language; may be empty, then every text is unknown."""
 
     contents: dict[str, bytes]
 
-    def encoders(self) -> dict:
-        import zstandard
-
-        out = {}
-        for lang, content in sorted(self.contents.items()):
-            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=LEVEL)
-            out[lang] = zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False
-            )
-        return out
+    def encoders(self) -> dict[str, Encoder]:
+        return {lang: Encoder(content) for lang, content in sorted(self.contents.items())}
 
 
-def classify(text: str | None, encoders: dict) -> tuple[str, float, bool]:
+def classify(text: str | None, encoders: dict[str, Encoder]) -> tuple[str, float, bool]:
     """(language, score, rejected). Null texts and texts without a letter are unknown with score 0; ties go to the first name."""
     found = words(text) if text else []
     if not found or not encoders:
         return UNKNOWN, 0.0, True
     blocks = [" ".join(found[i : i + WORDS]).encode() for i in range(0, len(found), WORDS)]
-    sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for lang, e in encoders.items())
+    sizes = sorted((e.size(blocks), lang) for lang, e in encoders.items())
     margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0] if len(sizes) > 1 else 1.0
     return sizes[0][1], 1 / (1 + math.exp(-min(700.0, STEEP * margin))), margin < MIN_MARGIN
 

@@ -29,7 +29,7 @@ GROUP_ROWS = 1_000_000
 #: Starts of these groups are broadcast up to so many rows.
 BROADCAST_GROUPS = 500_000
 #: Limits of the search; the best-fit solution stands where they end it.
-NODES, FILLINGS = 20_000, 12
+NODES, FILLINGS = 2_500, 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -3,8 +3,9 @@
 Texts become templates: names, numbers and units turn into typed placeholders, everything else into lower-case words
 without punctuation. Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with those of the
 documents. For the few documents with a hit, the windows are aligned again with the words behind them: a question that
-was re-parameterised fills its slots consistently, one value of the document for one of the item and the other way
-round. A document is contaminated by an item if consistent windows cover enough of the item.
+was re-parameterised fills its slots consistently, one value of the document for one of the item, and one name of the
+item for one of the document. Of an alignment where slots clash, the largest consistent part counts. A document is
+contaminated by an item if consistent windows cover enough of the item.
 """
 
 from __future__ import annotations
@@ -118,6 +119,37 @@ def _join_windows(left: DataFrame, right: DataFrame, keys: list[str], bound: int
     return left.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "_salt"]).drop("_salt")
 
 
+def _clash(x: Column, y: Column) -> Column:
+    """Two filled slots don't fit: an item value with two document values, or two item names with one."""
+    return ((x["b"] == y["b"]) & (x["d"] != y["d"])) | ((x["d"] == y["d"]) & (x["b"] != y["b"]) & x["d"].startswith(NAME))
+
+
+def _consistent(rows: DataFrame, window: int) -> DataFrame:
+    """``rows(ats, slots(place, b, d), size, ...)``, one per alignment, with ``places`` and ``pairs`` of its largest consistent part.
+
+    Windows without a clashing slot always stay. The others stay within a stretch that has no clash in it, if its slots
+    tell more than a shared template does: three distinct ones, or two that are unchanged.
+    """
+    n = F.least("size", F.lit(window))
+    has = lambda at, place: (place >= at) & (place < at + n)
+    distinct = lambda slots: F.array_distinct(F.transform(slots, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))))
+    within = lambda ats: distinct(F.filter("slots", lambda x: F.exists(ats, lambda at: has(at, x["place"]))))
+    rows = rows.withColumn("_clash", F.filter("slots", lambda x: F.exists("slots", lambda y: _clash(x, y))))
+    # the next clash of each slot; a stretch begins behind such a slot, and ends before the first clash of those in it
+    later = lambda x: F.array_min(F.transform(F.filter("_clash", lambda y: (y["place"] > x["place"]) & _clash(x, y)), lambda y: y["place"]))
+    rows = rows.withColumn("_next", F.filter(F.transform("_clash", lambda x: F.struct(x["place"].alias("i"), later(x).alias("j"))), lambda c: c["j"].isNotNull()))
+    starts = F.array_union(F.array(F.lit(0)), F.transform("_next", lambda c: c["i"] + 1))
+    end = lambda s: F.coalesce(F.array_min(F.transform(F.filter("_next", lambda c: c["i"] >= s), lambda c: c["j"])), F.col("size"))
+    rows = rows.withColumn("_clear", F.filter("ats", lambda at: ~F.exists("_clash", lambda x: has(at, x["place"]))))
+    rows = rows.withColumn("_parts", F.transform(starts, lambda s: F.filter("ats", lambda at: (at >= s) & (at + n <= end(s)))))
+    tells = lambda p: (F.size(p) >= 3) | (F.size(F.filter(p, lambda x: x["b"] == x["d"])) >= 2)
+    rows = rows.withColumn("_parts", F.transform("_parts", lambda ats: F.when(tells(within(ats)), F.array_union(ats, F.col("_clear"))).otherwise(F.col("_clear"))))
+    places = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda at: F.sequence(at, at + n - 1))))
+    sized = F.transform("_parts", lambda ats: F.struct(F.size(places(ats)).alias("n"), ats.alias("ats")))
+    rows = rows.withColumn("_best", F.array_max(sized)["ats"])
+    return rows.withColumn("places", places(F.col("_best"))).withColumn("pairs", within(F.col("_best"))).drop("_clash", "_next", "_clear", "_parts", "_best")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: int = COVERED) -> DataFrame:
     """(doc_id, item_id, n_covered, n_slots, n_changed) of every document and item that contaminates it.
 
@@ -149,18 +181,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered
     same = template(F.array_join("d_words", " ")) == template(F.array_join("words", " "))  # a hash alone is no proof
     pairs = pairs.where(same & ((2 * slots <= F.col("n")) | (F.col("d_words") == F.col("words"))))
     # windows of one alignment overlap: each place of the item counts once
-    zipped = pairs.select("doc_id", "t", "item_id", "size", "at", (F.col("d_at") - F.col("at")).alias("shift"), F.posexplode(F.arrays_zip("d_words", "words")).alias("i", "z"))
     run = ["doc_id", "t", "item_id", "size", "shift"]
-    single = zipped.select(*run, (F.col("at") + F.col("i")).alias("place"), F.col("z.d_words").alias("d"), F.col("z.words").alias("b")).distinct()
-    # an alignment is consistent if each item value has one document value and each document value one item value
+    pairs = pairs.withColumn("shift", F.col("d_at") - F.col("at"))
+    zipped = pairs.select(*run, "at", F.posexplode(F.arrays_zip("d_words", "words")).alias("i", "z"))
+    single = zipped.select(*run, "at", (F.col("at") + F.col("i")).alias("place"), F.col("z.words").alias("b"), F.col("z.d_words").alias("d"))
     judged = single.groupBy(*run).agg(
-        F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("b").rlike(_SLOT), F.struct("b", "d"))).alias("slots")
+        F.sort_array(F.collect_set("at")).alias("ats"), F.sort_array(F.collect_set(F.when(F.col("b").rlike(_SLOT), F.struct("place", "b", "d")))).alias("slots")
     )
-    one = lambda side: F.size(F.array_distinct(F.col(f"slots.{side}"))) == F.size("slots")
-    whole = judged.where(one("b") & one("d")).groupBy("doc_id", "t", "item_id").agg(
+    whole = _consistent(judged, window).groupBy("doc_id", "t", "item_id").agg(
         F.min("size").alias("size"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_covered"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots"),
     )
     enough = whole.where(F.col("n_covered") >= F.least(F.col("size"), F.lit(covered)))
     changed = F.size(F.filter("slots", lambda s: s["b"] != s["d"]))

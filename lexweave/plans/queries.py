@@ -363,8 +363,17 @@ def jaro_winkler_pairs(spark, sf):
 
 @query(f"WITH {I.VECTORS} SELECT a.vector_id AS a, b.vector_id AS b, round(1 - list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) + 0.0 AS distance FROM vectors a JOIN vectors b ON a.type = b.type AND a.vector_id < b.vector_id WHERE a.vector_id % 10 = 0")
 def cosine_pairs(spark, sf):
+    return _cosine_pairs(spark, sf, "vector_id % 10 = 0")
+
+
+@query(ORACLE_SQL["cosine_pairs"].replace(" WHERE a.vector_id % 10 = 0", ""))
+def cosine_pairs_all(spark, sf):
+    return _cosine_pairs(spark, sf, "true")
+
+
+def _cosine_pairs(spark, sf, where):
     v = I.vectors(spark, sf)
-    a = v.where("vector_id % 10 = 0").select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"), S.norm(F.col("vector")).alias("nx"))
+    a = v.where(where).select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"), S.norm(F.col("vector")).alias("nx"))
     b = v.select(F.col("vector_id").alias("b"), "type", F.col("vector").alias("y"), S.norm(F.col("vector")).alias("ny"))
     distance = S.cosine_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
     return a.join(b, "type").where("a < b").select("a", "b", (F.round(distance, 6) + 0.0).alias("distance"))
@@ -434,13 +443,26 @@ def mention_entity_names(spark, sf):
     return hits.join(I.entities(spark, sf).select("entity_id", "name"), "entity_id", "left").select("query_id", "vector_id", "name")
 
 
+#: Pairs of some parts in SQL, and those of all parts within blocks of 20 keys, so that they grow with the parts.
+_SOME_PARTS = "a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200", "a.p_partkey // 20 = b.p_partkey // 20"
+
+
 @query(f"""WITH {I.PARTS}, q AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS a, CASE WHEN b.p_partkey % 13 <> 0 THEN b.roled END AS b FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
 SELECT x, y FROM q WHERE b IS NULL OR {_GENERIC_SQL.format("a")} OR {_GENERIC_SQL.format("b")} OR {_SHARES_SQL} OR {_ACRONYM_SQL}""")
 def embedding_prefilter(spark, sf):
+    return _embedding_prefilter(spark, sf, "p_partkey < 200", F.col("x") % 97 == F.col("y") % 89)
+
+
+@query(ORACLE_SQL["embedding_prefilter"].replace(*_SOME_PARTS))
+def embedding_prefilter_all(spark, sf):
+    return _embedding_prefilter(spark, sf, "true", F.expr("x div 20 = y div 20"))
+
+
+def _embedding_prefilter(spark, sf, where, on):
     p = I.parts(spark, sf)
-    a = p.where("p_partkey < 200").select(F.col("p_partkey").alias("x"), F.col("roled").alias("a"))
+    a = p.where(where).select(F.col("p_partkey").alias("x"), F.col("roled").alias("a"))
     b = p.select(F.col("p_partkey").alias("y"), F.when(F.col("p_partkey") % 13 != 0, F.col("roled")).alias("b"))
-    pairs = a.join(b, F.col("x") % 97 == F.col("y") % 89)
+    pairs = a.join(b, on)
     return pairs.where(T.keep_context_match(F.col("a"), F.col("b"))).select("x", "y")
 
 
@@ -466,12 +488,21 @@ c AS (SELECT mention_id, pos, entity_id, CASE WHEN pos % 3 = 0 THEN 'given' END
 SELECT c.mention_id, CAST(c.pos AS INTEGER) AS pos, c.entity_id, coalesce(c.name, e.name) AS name, CAST(g.role AS VARCHAR) AS role, x.o_orderstatus AS status
 FROM c LEFT JOIN entities e ON c.entity_id = e.entity_id LEFT JOIN edges g ON c.entity_id = g.entity_id AND c.chunk_id = g.chunk_id LEFT JOIN x ON c.chunk_id = x.chunk_id""")
 def enrich_candidates(spark, sf):
+    return _enrich_candidates(spark, sf, "o_orderkey < 60")
+
+
+@query(ORACLE_SQL["enrich_candidates"].replace(" WHERE o_orderkey < 60", ""))
+def enrich_candidates_all(spark, sf):
+    return _enrich_candidates(spark, sf, "true")
+
+
+def _enrich_candidates(spark, sf, where):
     v = I.verdicts(spark, sf)
     chunk = F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("c"), "l_suppkey"))
     cand = v.select("mention_id", "pos", "entity_id", F.when(F.col("pos") % 3 == 0, "given").alias("name"), chunk.alias("chunk_id"))
     li = I.table(spark, sf, "lineitem").where("l_partkey % 2 = 0")
     edges = li.groupBy(F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.concat(F.lit("c"), "l_suppkey").alias("chunk_id")).agg(F.min("l_linenumber").cast("string").alias("role"))
-    facts = I.filings(spark, sf).where("o_orderkey < 60").select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), F.array("o_orderstatus").alias("docket_numbers"), F.array("text").alias("dates"))
+    facts = I.filings(spark, sf).where(where).select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), F.array("o_orderstatus").alias("docket_numbers"), F.array("text").alias("dates"))
     rows = judgment.enrich(cand, I.entities(spark, sf), edges.withColumn("textual_evidence", F.lit("t")), facts)
     return rows.select("mention_id", "pos", "entity_id", "name", "role", F.try_element_at("docket_numbers", F.lit(1)).alias("status"))
 
@@ -515,11 +546,20 @@ def zip_judgments(spark, sf):
   CASE WHEN b.p_partkey % 5 < 3 THEN 'same' ELSE 'different' END AS verdict FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
 SELECT x, y, CASE WHEN verdict = 'same' AND source <> 'jaro_winkler' AND NOT {_GENERIC_SQL.format("mention_name")} AND NOT {_GENERIC_SQL.format("name")} AND jaro_winkler_similarity(mention_name, name) < 0.6 THEN 'unsure' ELSE verdict END AS verdict FROM r""")
 def false_merge_guard(spark, sf):
+    return _false_merge_guard(spark, sf, "p_partkey < 200", F.col("x") % 97 == F.col("y") % 89)
+
+
+@query(ORACLE_SQL["false_merge_guard"].replace(*_SOME_PARTS))
+def false_merge_guard_all(spark, sf):
+    return _false_merge_guard(spark, sf, "true", F.expr("x div 20 = y div 20"))
+
+
+def _false_merge_guard(spark, sf, where, on):
     p = I.parts(spark, sf)
-    a = p.where("p_partkey < 200").select(F.col("p_partkey").alias("x"), F.col("roled").alias("mention_name"))
+    a = p.where(where).select(F.col("p_partkey").alias("x"), F.col("roled").alias("mention_name"))
     k = F.col("p_partkey")
     b = p.select(k.alias("y"), F.col("roled").alias("name"), F.when(k % 3 == 0, "jaro_winkler").otherwise("embedding").alias("source"), F.when(k % 5 < 3, "same").otherwise("different").alias("verdict"), F.lit("r").alias("reason"))
-    return judgment.guard_rows(a.join(b, F.col("x") % 97 == F.col("y") % 89), variant=S.BYTES).select("x", "y", "verdict")
+    return judgment.guard_rows(a.join(b, on), variant=S.BYTES).select("x", "y", "verdict")
 
 
 @query(f"WITH {I.VERDICTS} SELECT mention_id, arg_min(entity_id, pos) FILTER (WHERE verdict = 'same') AS merged_into, CASE WHEN count(*) FILTER (WHERE verdict = 'same') > 0 THEN 0 ELSE CAST(count(*) FILTER (WHERE verdict = 'unsure') AS INTEGER) END AS n_flags FROM verdicts GROUP BY 1")

@@ -9,9 +9,11 @@ of equal sequences, places every piece by its rank among those of its length.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -28,8 +30,8 @@ END_ID = 2
 GROUP_ROWS = 1_000_000
 #: Starts of these groups are broadcast up to so many rows.
 BROADCAST_GROUPS = 500_000
-#: Limits of the search; the best-fit solution stands where they end it.
-NODES, FILLINGS = 2_500, 12
+#: Limits of the search: nodes, and kinds of lengths up to which states are remembered; the incumbent stands where it ends.
+NODES, REMEMBERED = 5_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,27 +40,48 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LONG_SPACE = re.compile(r"\s{100000,}")
 
 
+def _byte_level(model: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks and control strings of a tokenizers file, if it is a plain byte-level BPE whose ids follow its merges."""
+    bpe, first = model["model"], model["pre_tokenizer"] or {}
+    plain = bpe["type"] == "BPE" and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not model["normalizer"]
+    added = model["added_tokens"]
+    if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        return None
+    # the printable stand-ins for bytes
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in bpe["merges"]]
+    if len(bpe["vocab"]) != 256 + len(merged) or any(bpe["vocab"][w] != 256 + k for k, w in enumerate(merged)):
+        return None
+    return {bytes(byte_of[c] for c in w): k for w, k in bpe["vocab"].items()}, {t["content"]: t["id"] for t in added}
+
+
 @cache
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
-    """The byte-level BPE of a ``.tiktoken`` rank file, or of a ``.json`` file of the tokenizers library.
+    """The byte-level BPE of a ``.json`` file of the tokenizers library, or of a ``.tiktoken`` rank file.
 
-    Both give the same ids for the same vocabulary. Control strings inside a text are ordinary text. A process loads a
-    vocabulary once.
+    Control strings that a ``.json`` file lists become their ids, as in that library; a rank file has none. A plain
+    byte-level file is run by the faster of the two libraries, with equal ids (tested). A process loads a vocabulary once.
     """
-    if vocabulary.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(vocabulary)
-        model.encode_special_tokens = True
-        return lambda text: model.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if vocabulary.endswith(".json"):
+        with open(vocabulary) as f:
+            known = _byte_level(json.load(f))
+        if known is None:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(vocabulary)
+            return lambda text: model.encode(text, add_special_tokens=False).ids
+        ranks, controls = known
+    else:
+        with open(vocabulary, "rb") as f:
+            ranks, controls = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, {}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    split = re.compile("(" + "|".join(map(re.escape, sorted(controls, key=len, reverse=True))) + ")") if controls else None
 
-    def encode(text: str) -> list[int]:
+    def plain(text: str) -> list[int]:
         if len(text) < 100_000 or not _LONG_SPACE.search(text):
             return own.encode_ordinary(text)
         out, at = [], 0
@@ -69,6 +92,12 @@ def encoder(vocabulary: str) -> Callable[[str], list[int]]:
             at = end
         return out + own.encode_ordinary(text[at:])
 
+    def encode(text: str) -> list[int]:
+        if split is None or not any(c in text for c in controls):
+            return plain(text)
+        parts = split.split(text)  # a control string parts the text around it
+        return [i for k, part in enumerate(parts) for i in ([controls[part]] if k % 2 else plain(part))]
+
     return encode
 
 
@@ -112,18 +141,59 @@ def lower_bound(counts: dict[int, int], room: int) -> int:
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times in a bin)..., number of such bins)
 
 
-def _apply(counts: dict[int, int], filling: tuple[tuple[int, int], ...]) -> int:
-    """Use ``filling`` as often as the counts allow."""
-    times = min(counts[n] // k for n, k in filling)
+Filling = tuple[tuple[int, int], ...]
+
+
+def _change(counts: dict[int, int], filling: Filling, times: int) -> None:
+    """Use ``filling`` so often; a negative number gives it back."""
     for n, k in filling:
-        counts[n] -= k * times
-        if not counts[n]:
+        now = counts.get(n, 0) - k * times
+        if now:
+            counts[n] = now
+        else:
             del counts[n]
-    return times
 
 
 def best_fit(counts: dict[int, int], room: int) -> Plan:
-    """Best-fit decreasing over the histogram: each bin takes the largest length that fits, again and again."""
+    """Best-fit decreasing over the histogram: each piece goes into the fullest bin that holds it.
+
+    Equal bins are kept together, so the cost depends on the number of lengths only.
+    """
+    bins: dict[int, list[tuple[Filling, int]]] = {}  # by what is left free
+    frees: list[int] = []
+
+    def put(free: int, filling: Filling, times: int) -> None:
+        if free not in bins:
+            bins[free] = []
+            insort(frees, free)
+        bins[free].append((filling, times))
+
+    for n in sorted(counts, reverse=True):
+        c = counts[n]
+        while c:
+            at = bisect_left(frees, n)
+            free = frees[at] if at < len(frees) else room
+            if at < len(frees):
+                filling, times = bins[free].pop()
+                if not bins[free]:
+                    del bins[free], frees[at]
+            else:
+                filling, times = (), c
+            each = free // n  # a bin that took one is the fullest for the next
+            full = min(times, c // each)
+            rest = min(each, c - full * each) if full < times else 0
+            if full:
+                put(free - each * n, (*filling, (n, each)), full)
+            if rest:
+                put(free - rest * n, (*filling, (n, rest)), 1)
+            if filling and (same := times - full - bool(rest)):
+                put(free, filling, same)
+            c -= full * each + rest
+    return [x for group in bins.values() for x in group]
+
+
+def largest_first(counts: dict[int, int], room: int) -> Plan:
+    """One bin after the other takes the largest piece that fits, again and again."""
     counts, plan = dict(counts), []
     while counts:
         left, filling = room, {}
@@ -132,15 +202,18 @@ def best_fit(counts: dict[int, int], room: int) -> Plan:
                 filling[n] = k
                 left -= n * k
         key = tuple(filling.items())
-        plan.append((key, _apply(counts, key)))
+        times = min(counts[n] // k for n, k in key)
+        _change(counts, key, times)
+        plan.append((key, times))
     return plan
 
 
-def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of a bin around the largest length, the least waste first.
+def fillings(counts: dict[int, int], room: int, spare: int | None = None) -> Iterator[Filling]:
+    """All undominated fillings of a bin around the largest length that waste ``spare`` at most, the least waste first.
 
-    A filling is dominated if a shorter item in it can be exchanged for a longer one that is left and still fits:
-    only fillings whose waste is less than every such exchange's gain stay. Reachable sums are a bit set.
+    A filling is dominated, after Martello and Toth, if a piece that is left could be added, or could take the place of
+    a shorter one or of two that together aren't longer: then some packing as good has the better filling. Sums that
+    can be reached are bit sets, so the search for a sum has no dead ends.
     """
     top = max(counts)
     free = room - top
@@ -155,75 +228,125 @@ def fillings(counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tu
             bits |= (bits << (take * sizes[i])) & mask
             k, step = k - take, step * 2
         below[i] = bits
-    found: list[tuple[tuple[int, int], ...]] = []
-    reachable, target = below[0], free
-    while target >= 0 and len(found) < most:
-        if reachable >> target & 1:
-            waste = free - target
-            stack, tries = [(0, target, ())], 0
-            while stack and len(found) < most and tries < 400:
-                tries += 1
-                i, left, chosen = stack.pop()
-                if not left:
+    every = 0
+    for n in sizes:
+        every |= 1 << n
+
+    def sums(i: int, left: int, chosen: Filling) -> Iterator[Filling]:
+        if not left:
+            yield chosen
+            return
+        for j in range(bisect_left(sizes, -left, i, key=lambda n: -n), len(sizes)):
+            if not below[j] >> left & 1:
+                return
+            n = sizes[j]
+            for k in range(min(rest[n], left // n), 0, -1):
+                if below[j + 1] >> (left - k * n) & 1:
+                    yield from sums(j + 1, left - k * n, (*chosen, (n, k)))
+
+    def dominated(chosen: Filling, waste: int) -> bool:
+        others = every
+        for n, k in chosen:
+            if rest[n] == k:
+                others ^= 1 << n
+        longer, as_long = (1 << waste) - 1, (1 << (waste + 1)) - 1
+        if others >> 1 & longer or any(others >> (n + 1) & longer for n, _ in chosen):
+            return True
+        own = [n for n, k in chosen for _ in range(min(k, 2))]
+        return any(others >> (a + b) & as_long for x, a in enumerate(own) for b in own[:x])
+
+    for target in range(free, -1 if spare is None else max(-1, free - spare - 1), -1):
+        if below[0] >> target & 1:
+            for chosen in sums(0, target, ()):
+                if not dominated(chosen, free - target):
                     used = dict(chosen)
-                    # exchange test: a longer item that is left must not fit in place of a shorter one
-                    if waste and any(0 < m - n <= waste and rest[m] > used.get(m, 0) for n in used for m in sizes):
-                        continue
                     used[top] = used.get(top, 0) + 1
-                    found.append(tuple(sorted(used.items(), reverse=True)))
-                    continue
-                while i < len(sizes) and sizes[i] > left:
-                    i += 1
-                if i == len(sizes):
-                    continue
-                most_here = min(rest[sizes[i]], left // sizes[i])
-                for k in range(most_here + 1):  # the most copies of the longest are tried first
-                    after = left - k * sizes[i]
-                    if below[i + 1] >> after & 1:
-                        stack.append((i + 1, after, chosen + ((sizes[i], k),) * bool(k)))
-            if waste == 0 and found:
-                break
-        target -= 1
-    return found or [((top, 1),)]
+                    yield tuple(sorted(used.items(), reverse=True))
 
 
 def bin_completion(counts: dict[int, int], room: int = SEQ_LEN, nodes: int = NODES) -> Plan:
-    """As few bins as found for ``counts`` (length -> pieces): depth-first over undominated fillings of the largest.
-
-    The best-fit solution is the first incumbent. A branch ends once its waste shows that it can't beat the incumbent;
-    the search ends at the lower bound, or after ``nodes`` nodes, keeping the incumbent. Its cost doesn't depend on
-    the number of documents, as equal bins are filled together. One histogram is changed and restored along the path,
-    so memory grows with the depth only.
+    """As few bins as found for ``counts`` (length -> pieces): branch and bound over undominated fillings of the largest.
+
+    The better of two best-fit solutions is the first incumbent. A filling is used as often as it can be first, then
+    less often, down to once, and not again for the same largest length, so no packing is left out. A branch ends once
+    its waste, or the bound of what is left, shows that it can't beat the incumbent. The search is depth-first for a
+    third of ``nodes``; if that doesn't exhaust it, it goes on with one deviation from the first choices, then two, and
+    so on. It ends at the lower bound, when nothing is left to try, or after ``nodes``, keeping the incumbent. Equal
+    bins are filled together, so the cost doesn't depend on the number of documents.
     """
     left = {n: c for n, c in counts.items() if c}
-    total, best = sum(n * c for n, c in left.items()), best_fit(left, room)
-    bins, floor, seen = sum(t for _, t in best), lower_bound(left, room), 0
-    path: Plan = []
-    used = waste = 0
-    open_ = [iter(fillings(left, room))] if left else []
-    while open_ and seen < nodes and bins > floor:
-        filling = next(open_[-1], None)
-        if filling is None:
-            open_.pop()
-            if path:
-                last, times = path.pop()
-                _restore(left, last, times)
-                used, waste = used - times, waste - times * (room - sum(n * k for n, k in last))
-            continue
-        seen += 1
-        times = _apply(left, filling)
-        path.append((filling, times))
-        used, waste = used + times, waste + times * (room - sum(n * k for n, k in filling))
-        if not left and used < bins:
-            best, bins = list(path), used
-        go_on = left and math.ceil((total + waste) / room) < bins
-        open_.append(iter(fillings(left, room) if go_on else ()))
-    return best
-
-
-def _restore(counts: dict[int, int], filling: tuple[tuple[int, int], ...], times: int) -> None:
-    for n, k in filling:
-        counts[n] = counts.get(n, 0) + k * times
+    if not left:
+        return []
+    best = min(best_fit(left, room), largest_first(left, room), key=lambda p: sum(t for _, t in p))
+    state = _State(left, room, best, lower_bound(left, room))
+    state.dive(nodes // 3, None)
+    deviations = 1
+    while not state.over and state.seen < nodes:
+        before = state.seen
+        state.dive(nodes, deviations)
+        deviations += 1
+        if state.seen == before:
+            break
+    return state.best
+
+
+class _State:
+    """A histogram that is changed and restored along the path of the search, so memory grows with the depth only."""
+
+    def __init__(self, left: dict[int, int], room: int, best: Plan, floor: int):
+        self.left, self.room, self.best, self.floor = left, room, best, floor
+        self.total = sum(n * c for n, c in left.items())
+        self.bins = sum(t for _, t in best)
+        self.seen, self.over = 0, self.bins <= floor
+
+    def options(self, spare: int, banned: frozenset) -> Iterator[tuple[Filling, int]]:
+        for filling in fillings(self.left, self.room, spare):
+            if filling not in banned:
+                for times in range(min(self.left[n] // k for n, k in filling), 0, -1):
+                    yield filling, times
+
+    def dive(self, nodes: int, deviations: int | None) -> None:
+        """Search until ``nodes`` are seen; ``deviations``: how many choices may differ from the first ones, None for any."""
+        reached: dict[frozenset, int] = {}
+        path: Plan = []
+        used = waste = 0
+        spare = lambda: (self.bins - 1) * self.room - self.total - waste
+        # a frame: its choices, how many were taken, deviations left, fillings not to use again, the largest length
+        frames = [[self.options(spare(), frozenset()), 0, deviations, frozenset(), max(self.left)]]
+        while frames and self.seen < nodes and not self.over:
+            frame = frames[-1]
+            at_end = frame[1] and frame[2] == 0
+            choice = None if at_end else next(frame[0], None)
+            if choice is None:
+                frames.pop()
+                if path:
+                    filling, times = path.pop()
+                    _change(self.left, filling, -times)
+                    used, waste = used - times, waste - times * (self.room - sum(n * k for n, k in filling))
+                continue
+            self.seen += 1
+            filling, times = choice
+            more = frame[2] if frame[2] is None else frame[2] - (frame[1] > 0)
+            frame[1] += 1
+            _change(self.left, filling, times)
+            path.append(choice)
+            used, waste = used + times, waste + times * (self.room - sum(n * k for n, k in filling))
+            go_on = bool(self.left) and spare() >= 0
+            if not self.left and used < self.bins:
+                self.best, self.bins = list(path), used
+                self.over = used <= self.floor
+            if go_on and len(self.left) <= REMEMBERED:
+                key = frozenset(self.left.items())
+                go_on = (deviations is not None or reached.get(key, used + 1) > used) and used + lower_bound(self.left, self.room) < self.bins
+                if deviations is None:
+                    reached[key] = min(used, reached.get(key, used))
+            top = max(self.left) if go_on else 0
+            banned = frame[3] | {filling} if top == frame[4] else frozenset()
+            frames.append([self.options(spare(), banned) if go_on else iter(()), 0, more, banned, top])
+        if not frames and deviations is None:
+            self.over = True  # nothing is left to try
+        for filling, times in reversed(path):
+            _change(self.left, filling, -times)
 
 
 def runs(plan: Plan) -> list[tuple[int, int, int, int]]:

@@ -1,8 +1,9 @@
 """Packing: exact lengths, gapless sequences, round trips of the ids, and bin counts against brute force."""
 
-import itertools
+import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -94,8 +95,7 @@ def check(rows, docs, seq_len):
 @pytest.mark.parametrize("vocabulary", [RANKS, JSON])
 def test_documents(spark, sf, vocabulary):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    encode = P.encoder(JSON)
-    want = {r["doc_id"]: [*encode(r["text"]), 2] for r in docs.collect()}
+    want = {r["doc_id"]: [*reference(r["text"]), 2] for r in docs.collect()}
     n = check(P.pack(docs, vocabulary).collect(), want, 1024)
     counts = defaultdict(int)
     for ids in want.values():
@@ -104,12 +104,77 @@ def test_documents(spark, sf, vocabulary):
     assert n <= P.lower_bound(counts, 1024) + 1
 
 
+def reference(text):
+    """The ids of the contract, by the tokenizers library itself."""
+    return _model().encode(text, add_special_tokens=False).ids
+
+
+@cache
+def _model():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(JSON)
+
+
+def test_control_strings_are_ids():
+    encode = P.encoder(JSON)
+    assert encode("a <|endoftext|> b") == reference("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for t in ("<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "<|endoftext", "\n\n<|endoftext|>\n", "<|endoftext|>" + " " * 120_000 + "<|endoftext|>z"):
+        assert encode(t) == reference(t)
+    assert P.encoder(RANKS)("<|endoftext|>") != [50256]  # a rank file lists no control strings
+
+
+def test_other_files_of_the_library_are_run_by_it():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    assert P.encoder(other)("Some Words <|endoftext|>") == Tokenizer.from_file(other).encode("Some Words <|endoftext|>", add_special_tokens=False).ids
+
+
+def test_no_packing_is_left_out():
+    """Random instances against brute force; a node limit far above what they need."""
+    r = random.Random(5)
+    for _ in range(4_000):
+        room = r.choice((12, 20, 50, 100))
+        lengths = [r.randint(1, room) if r.random() < 0.2 else r.randint(max(1, room // 6), room * 2 // 3) for _ in range(r.randint(4, 11))]
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        assert sum(t for _, t in P.bin_completion(counts, room)) == fewest(sorted(lengths, reverse=True), room), (lengths, room)
+    assert sum(t for _, t in P.bin_completion(dict.fromkeys((10, 12, 16, 17, 19, 21, 23, 28), 1), 50)) == 3
+
+
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
+def test_best_fit_places_every_piece_once(counts):
+    for plan in (P.best_fit(counts, 30), P.largest_first(counts, 30), P.bin_completion(counts, 30, nodes=50)):
+        used = defaultdict(int)
+        for filling, times in plan:
+            assert times > 0 and sum(n * k for n, k in filling) <= 30
+            for n, k in filling:
+                used[n] += k * times
+        assert dict(used) == counts
+
+
+def test_best_fit_by_pieces():
+    """The histogram form against best-fit decreasing piece by piece."""
+    r = random.Random(2)
+    for _ in range(500):
+        room = r.choice((10, 24, 100))
+        lengths = sorted((r.randint(1, room) for _ in range(r.randint(1, 60))), reverse=True)
+        bins: list[int] = []
+        for n in lengths:
+            fit = [(b, i) for i, b in enumerate(bins) if b >= n]
+            if fit:
+                bins[min(fit)[1]] -= n
+            else:
+                bins.append(room - n)
+        assert sum(t for _, t in P.best_fit({n: lengths.count(n) for n in set(lengths)}, room)) == len(bins)
+
+
 def test_both_vocabularies_agree_on_all_texts(sf):
     import duckdb
 
-    a, b = P.encoder(RANKS), P.encoder(JSON)
+    a, b = P.encoder(JSON), reference
     texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) < 4000 USING SAMPLE 150 ROWS (reservoir, 3)").fetchall()]
-    for t in [*texts, "", " ", "<|endoftext|>", "a\x00b 𝄞 é́ \n\n  x", "word" * 300, "     " * 50, "a" + " " * 120_000 + "b" + "\n" * 110_000 + " c", " " * 100_001]:
+    for t in [*texts, "", " ", "a\x00b 𝄞 é́ \n\n  x", "word" * 300, "     " * 50, "a" + " " * 120_000 + "b" + "\n" * 110_000 + " c", " " * 100_001]:
         assert list(a(t)) == list(b(t))
 
 

@@ -38,6 +38,8 @@ _SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{12,})")
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport", "reisepass", "passeport", "pasaporte")
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
 IBAN_CUE = "iban"
+#: Characters after a cue, or after a number found, within which a number may begin.
+IBAN_REACH = 60
 
 
 def _cased(word: str) -> set[str]:
@@ -135,12 +137,18 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if m := _SECRET.match(text, end):
                 _add(found["secret"], m.span(1))
         elif kind == "iban":
-            if m := _IBAN.search(text, end, min(len(text), end + 60)):
+            at, reach = end, end + IBAN_REACH
+            # every candidate that begins near the cue or near the number before it; the longest one ends the view
+            while m := _IBAN.search(text, at, min(len(text), reach + 80)):
+                if m.start() >= reach:
+                    break
                 whole = m[0]
                 while whole and not iban_valid(whole):  # the boundary may lie before a following word
                     whole = whole[:-1].rstrip()
                 if whole:
                     _add(found["iban"], (m.start(), m.start() + len(whole)))
+                at = m.start() + max(2, len(whole))
+                reach = at + IBAN_REACH if whole else reach
     return found
 
 
@@ -165,11 +173,12 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + "".join(f"n_{k} long, " for k in ADDED) + "n_spans long, n_personal long, redacted string"
 
 
 def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: counts of the base kinds, their digest, all spans, the redacted text.
+    """One row per row of ``docs(doc_id, text)``: counts of the base kinds, their digest, all spans, counts of
+    the added kinds, of all spans, and of all but URLs, which alone are no personal data; the redacted text.
 
     A null text is empty: no spans, the digest of the empty string, and a null redaction. Null ids and repeated rows
     are carried along; other columns are ignored. ``redacted`` is only there ``with_text``.
@@ -182,11 +191,14 @@ def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 text = text.as_py()
                 found = spans(text)
                 digest = hashlib.sha256(joined(found, BASE).encode()).hexdigest()
-                rows.append((doc_id, *(len(found[k]) for k in BASE), digest, joined(found, KINDS), redact(text) if with_text else None))
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
-
+                total = sum(map(len, found.values()))
+                counts = [len(found[k]) for k in ADDED] + [total, total - len(found["url"])]
+                rows.append((doc_id, *(len(found[k]) for k in BASE), digest, joined(found, KINDS), *counts, redact(text) if with_text else None))
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in SCHEMA.split(", ")]
     arrow_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
     return out if with_text else out.drop("redacted")

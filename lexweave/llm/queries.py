@@ -32,7 +32,7 @@ def op4_line_dedup_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(_table(spark, sf_dir, "embeddings")).drop("n_resolved")
 
 
 def op6_language_id_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

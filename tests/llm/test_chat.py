@@ -56,6 +56,29 @@ def test_long_conversation(spark):
     assert run(spark, rows) == plain(rows)
 
 
+def test_time_follows_the_turns(spark):
+    """Conversations of twice the turns take little more than twice as long: nothing is copied per turn."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é some words "), "id").alias("text"))
+        rows = rows.cache()
+        rows.count()
+        began = time.perf_counter()
+        got = C.digest(C.format_chats(rows)).first()
+        took.append(time.perf_counter() - began)
+        texts = [f"é some words {i}" for i in range(1, n, 2)]
+        assert got["n_turns"] == n and got["loss_sha256"] == digest(*texts)
+    assert took[1] < 10 * took[0] + 2
+
+
+def test_ties_go_by_the_text_before_escaping(spark):
+    rows = [(1, 0, "user", "<|a"), (1, 0, "user", "<]b"), (1, 0, "user", "<\\")]
+    got = C.format_chats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).select(C.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in got] == sorted(r[3] for r in rows)
+
+
 def test_no_python_on_the_main_path(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     df = C.digest(C.format_chats(rows))

@@ -25,12 +25,18 @@ from lexweave.llm.common import arrow_batches
 _TAG = re.compile(
     r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>?|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"<]*\"|'[^'<]*')*+[^>]*)(?:>|\Z))", re.S
 )
-_RAW = {"script", "style", "noscript", "template", "iframe", "title", "svg", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist", "noembed", "noframes", "xmp", "math"}
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW}
+#: What these hold is never text of the page: up to the end of the page if they aren't closed, as browsers read them.
+_RAW = {"script", "style", "title", "textarea"}
+#: These are left out if they are closed before they begin again; else only their start tag is.
+_ASIDE = {"noscript", "template", "iframe", "noembed", "noframes", "select", "datalist"}
+#: Words inside these, between block boundaries, aren't text of the page; not closed, they are.
+_MUTE = {"button", "svg", "canvas", "audio", "video", "object"}
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in _RAW | _ASIDE | {"xmp"}}
+_STARTS = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in _ASIDE}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCKS = (
     "html", "head", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption",
-    "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "fieldset", "legend", "address", "details", "summary", "dialog", "center", "menu", "hgroup", "search", "noframes",
+    "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "fieldset", "legend", "address", "details", "summary", "dialog", "center", "menu", "hgroup", "search",
 )
 _BLOCK = {t: i for i, t in enumerate(BLOCKS)}
 #: A start tag closes an open element of these, up to the nearest of the stops.
@@ -97,8 +103,12 @@ def parse(page: str | None, to: Nodes) -> None:
     """Append the nodes of one page. Null and empty pages have none; unclosed and stray tags are put up with."""
     page = page or ""
     opened: list[tuple[str, int]] = []  # tag, node
+    places: dict[str, list[int]] = {}  # where in ``opened`` each tag stands, so that no stray tag has to look for it
     runs: list[str] = []
+    muted: list[tuple[str, int, int]] = []  # tag, how many runs and linked characters were before it
+    mutes: dict[str, int] = {}
     state = {"linked": 0, "links": 0}
+    ahead: dict[re.Pattern, tuple[int, re.Match | None]] = {}  # the next match of a pattern, and from where it was sought
 
     def node(kind: int, features: list[int], text: str = "", mark: str = "") -> int:
         parent = opened[-1][1] if opened else -1
@@ -113,25 +123,46 @@ def parse(page: str | None, to: Nodes) -> None:
     def flush() -> None:
         text = " ".join("".join(runs).split())
         runs.clear()
+        muted.clear()
+        mutes.clear()
         if text:
-            above = _BLOCK[opened[-1][0]] if opened else LEAF
+            # text outside of all elements stands in the body
+            above = _BLOCK[opened[-1][0] if opened else "body"]
             node(LEAF, [LEAF, _F_PARENT + above, *_figures(text, state["linked"])], text)
         state["linked"] = 0
 
-    def say(raw: str) -> None:
+    def say(raw: str, decode: bool = True) -> None:
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if decode and "&" in raw else raw
             runs.append(text)
             if state["links"]:
                 state["linked"] += len(text)
 
+    def last(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def close(names: set[str], stops: set[str]) -> None:
-        for k in range(len(opened) - 1, -1, -1):
-            if opened[k][0] in names:
-                flush()
-                del opened[k:]
-                return
-            if opened[k][0] in stops:
+        k = last(names)
+        if k >= 0 and k > last(stops):
+            flush()
+            while len(opened) > k:
+                places[opened.pop()[0]].pop()
+
+    def following(pattern: re.Pattern, at: int) -> re.Match | None:
+        since, m = ahead.get(pattern, (len(page) + 1, None))
+        if at < since or (m is not None and m.start() < at):
+            m = pattern.search(page, at)
+            ahead[pattern] = (at, m)
+        return m
+
+    def unmute(name: str) -> None:
+        while mutes.get(name):
+            tag, size, linked = muted.pop()
+            mutes[tag] -= 1
+            if tag == name:
+                del runs[size:]
+                runs.append(" ")
+                state["linked"] = linked
                 return
 
     at, end = 0, len(page)
@@ -149,16 +180,30 @@ def parse(page: str | None, to: Nodes) -> None:
         if m["close"]:
             if name == "a":
                 state["links"] = max(0, state["links"] - 1)
+            elif name in _MUTE:
+                unmute(name)
             elif name in _BLOCK:
                 close({name}, set())
             continue
         if name in _RAW:
-            if not m["attrs"].rstrip().endswith("/") or name not in ("svg", "iframe", "object"):
-                stop = _RAW_END[name].search(page, at)
-                at = stop.end() if stop else end
+            stop = following(_ENDS[name], at)
+            at = stop.end() if stop else end
             runs.append(" ")
-            continue
-        if name == "a":
+        elif name == "xmp":
+            stop = following(_ENDS[name], at)
+            say(page[at : stop.start() if stop else end], decode=False)
+            at = stop.end() if stop else end
+        elif name in _ASIDE:
+            stop, again = following(_ENDS[name], at), following(_STARTS[name], at)
+            if stop and not (again and again.start() < stop.start()):
+                at = stop.end()
+            runs.append(" ")
+        elif name in _MUTE:
+            if not m["attrs"].endswith("/"):
+                muted.append((name, len(runs), state["linked"]))
+                mutes[name] = mutes.get(name, 0) + 1
+            runs.append(" ")
+        elif name == "a":
             state["links"] += 1
         elif name in _VOID:
             runs.append(" ")
@@ -167,11 +212,13 @@ def parse(page: str | None, to: Nodes) -> None:
         elif name in _BLOCK:
             if name in _CLOSES:
                 close(*_CLOSES[name])
-            close({"p"}, set(BLOCKS) - {"p"})
+            if opened and opened[-1][0] == "p":
+                close({"p"}, set())
             flush()
             words = {w for got in _NAMES.findall(m["attrs"]) for w in _WORD.findall("".join(got).lower())} if m["attrs"] else ()
             mark = (re.search(r"data-keep=\"(\d)\"", m["attrs"]) or [None, ""])[1] if "data-keep" in m["attrs"] else ""
             new = node(_BLOCK[name], [_BLOCK[name], *(_F_CUE + _CUE[w] for w in words if w in _CUE)], mark=mark)
+            places.setdefault(name, []).append(len(opened))
             opened.append((name, new))
     flush()
 
@@ -328,7 +375,7 @@ def sample_pages(n: int = 400, seed: int = 7) -> list[str]:
         low = "".join(fixed(junk()) for _ in range(r.integers(0, 4)))
         if r.random() < 0.6:
             low += f'<footer data-keep="0">&copy; {words(1, 4)} &middot; {pick(sentence(), words(2, 9), prose(1, 3))}</footer>'
-        shell = r.integers(6)
+        shell = r.integers(7)
         inner = story()
         if shell <= 1:
             core = f'<article data-keep="1">{inner}</article>'
@@ -338,8 +385,14 @@ def sample_pages(n: int = 400, seed: int = 7) -> list[str]:
             core = f'<main data-keep="1">{inner}</main>'
         elif shell == 4:
             core = f'<{named("div", "content", "post", "entry-content", "article-body", "story", "main-content", "post-text")} data-keep="1">{inner}</div>'
-        else:
+        elif shell == 5:
             core = f'<div class="{pick("container", "wrapper", "row")}"><div data-keep="1">{inner}</div></div>'
+        if shell == 6:  # the body itself holds the story, or a page is nothing but text
+            bare = r.random()
+            inner = inner if bare < 0.6 else "<br><br>".join(prose(1, 5) for _ in range(r.integers(1, 5))) if bare < 0.9 else prose(1, 4)
+            junk_at = "" if bare >= 0.9 else top
+            pages.append(f'<html><head><title>{words(1, 6)}</title></head><body data-keep="1">{junk_at}{inner}{low if junk_at else ""}</body></html>')
+            continue
         if r.random() < 0.3:
             core, low = f'<div class="{pick("container", "wrapper", "page", "row")}">{core}{low}</div>', ""
         pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title></head><body>{top}{core}{low}</body></html>")
@@ -383,7 +436,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     page order. A null or empty page, or one without main text, has an empty text. Null ids and repeated rows are
     carried along; other columns are ignored; an empty table gives no rows. The model is a few kilobytes.
     """
-    arrow_batches(pages.sparkSession, 1_000, "8m")
+    arrow_batches(pages.sparkSession)
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

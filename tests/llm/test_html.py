@@ -75,6 +75,41 @@ def test_broken_markup(page):
     assert len(H.extract_many([page, page], H.default_model())) == 2
 
 
+@pytest.mark.parametrize(
+    "page,held",
+    [
+        (f"<article><p>{PROSE} <button>Go</p><p>{PROSE}</p></article>", [f"{PROSE} Go", PROSE]),
+        (f"<article><p>Before <svg><p>{PROSE}</p></article>", ["Before", PROSE]),
+        (f"<article><p>{PROSE}<iframe src=x></p><p>{PROSE}</p></article>", [PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><noscript><p>{PROSE}</p><noscript>no</noscript></article>", [PROSE, PROSE]),
+        (f"<article><p>The area is <math><mi>x</mi></math> square metres. {PROSE}</p></article>", ["The area is x square metres. " + PROSE]),
+        (f"<article><p>{PROSE} <xmp>a &lt; <b></xmp> {PROSE}</p></article>", [f"{PROSE} a &lt; <b> {PROSE}"]),
+        (PROSE, [PROSE]),
+        (f"<body>{PROSE}<br>{PROSE}</body>", [f"{PROSE} {PROSE}"]),
+    ],
+)
+def test_no_text_is_lost_to_open_elements(page, held):
+    assert H.extract_many([page], H.default_model()) == ["\n".join(held)]
+
+
+@pytest.mark.parametrize("page", [f"<article><p>{PROSE} <button>Send it</button> {PROSE}</p></article>", f"<article><p>{PROSE} <svg viewBox='0'><text>Send it</text></svg> {PROSE}<iframe>Send it</iframe></p></article>", f"<article><p>{PROSE} <select><option>Send it</select> {PROSE}</p></article>"])
+def test_closed_controls_go(page):
+    assert H.extract_many([page], H.default_model()) == [f"{PROSE} {PROSE}"]
+
+
+@pytest.mark.parametrize("part", ["<button>", "</section>", "<noscript>", "<svg></object>", "<p><button>", "<li><ul></li>", "<iframe><b>", "</p>", "<td><table>"])
+def test_parsing_is_linear(part):
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        began = time.perf_counter()
+        nodes = H.Nodes.empty()
+        H.parse("<div>x" + part * n + "a b</div>", nodes)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 15 * took[0] + 0.5
+
+
 def test_odd_tables(spark):
     long = "<article>" + f"<p>{PROSE}</p>" * 3000 + "</article>"
     rows = [(1, "u", None, 1, "t"), (None, None, "", 1, "t"), (2, "v", long, 1, "t"), (2, "v", long, 1, "t")]

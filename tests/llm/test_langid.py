@@ -59,6 +59,34 @@ def test_odd_texts(spark, model):
     assert [r["lang_pred"] for r in L.predict(spark.createDataFrame([(1, "words")], "doc_id long, text string"), L.Model({})).collect()] == ["und"]
 
 
+def test_classify_by_brute_force():
+    """The smallest total of plain compressions of the whole text, block by block, less the seed's own size."""
+    import random
+
+    import zstandard
+
+    r = random.Random(3)
+    say = lambda pool, n: " ".join(r.choice(pool) for _ in range(n))
+    pools = {"aa": ["the", "house", "of", "winter", "and"], "bb": ["das", "haus", "der", "und", "nicht"], "cc": ["la", "maison", "des", "et", "pas"]}
+    contents = {k: say(v, 3000).encode() for k, v in pools.items()}
+    encoders = L.Model(contents).encoders()
+    for n in (1, 5, 40, 4000):
+        for pool in pools.values():
+            text = say(pool, n) + " 12 !? " + say(pool, 2).upper()
+            found = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+            totals = {}
+            for lang, content in contents.items():
+                shared = zstandard.ZstdCompressionDict(content[: -L.SEED_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                level = L.SHORT_LEVEL if len(found) <= L.SHORT_BYTES else L.LEVEL
+                press = lambda b: len(zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b))  # noqa: E731, B023
+                seed = content[-L.SEED_BYTES :]
+                blocks = [found[i : i + L.BLOCK_BYTES] for i in range(0, len(found), L.BLOCK_BYTES)]
+                totals[lang] = max(1, press(seed + b" " + blocks[0]) - press(seed) + sum(map(press, blocks[1:])))
+            first, second = sorted((t, lang) for lang, t in totals.items())[:2]
+            got = L.classify(text, encoders)
+            assert got[0] == first[1] and got[2] == ((second[0] - first[0]) / first[0] < L.MIN_MARGIN)
+
+
 def test_short_texts(spark):
     """The seed lets texts of a few words compress at all."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import broadcast_if_small, materialize
+from lexweave.llm.common import broadcast_if_small, free_name, materialize
 
 MIN_SITES = 10
 #: log2 of the sketch's registers; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
@@ -48,7 +48,7 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     A null source counts as one site of its own.
     """
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
-    spread = materialize(
+    spread = materialize(  # only what may reach the threshold is written
         found.groupBy("key")
         .agg(F.hll_sketch_agg(site, F.lit(LG_K)).alias("sketch"), F.min(F.struct("doc_id", "h", "pos")).alias("first"))
         .select("key", "first", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -56,6 +56,8 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         "line-spread",
     )
     near = F.abs(F.col("sites") - min_sites) <= _margin(min_sites)
+    if spread.where(near).isEmpty():
+        return spread.select("key", "first")
     unsure, _ = broadcast_if_small(spread.where(near).select("key", "first"))
     exact = (
         found.join(unsure.select("key"), "key", "left_semi")
@@ -81,24 +83,26 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     are treated alike. An empty table gives no rows.
     """
     columns = [c for c in docs.columns if c != "n_removed"]
-    found = materialize(occurrences(docs), "lines")
-    common = materialize(boilerplate(found, min_sites), "boilerplate")
-    keys, small = broadcast_if_small(common)
+    # lines are cut from the texts in each pass: a table of all lines would be as large as the corpus
+    found = occurrences(docs)
+    common = boilerplate(found, min_sites)
+    keys, small = broadcast_if_small(materialize(common, "boilerplate"))
     if small:
         hits = found.join(keys, "key")
     else:  # too many to broadcast: hot lines are spread over salted groups on both sides
-        salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = found.withColumn("_salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["key", "_salt"])
-    gone = (
+        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = found.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    h, key, gone = (free_name(docs, c) for c in ("_h", "_id", "_gone"))
+    cut = (
         hits.where(F.struct("doc_id", "h", "pos") != F.col("first"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .groupBy(F.col("doc_id").alias(key), F.col("h").alias(h))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    rows = docs.select(*columns).withColumn("_h", F.xxhash64("text")).withColumn("_id", F.col("doc_id"))
-    joined = rows.join(gone, ["_id", "_h"], "left")
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    rows = docs.select(*columns).withColumn(h, F.xxhash64("text")).withColumn(key, F.col("doc_id"))
+    joined = rows.join(cut, [key, h], "left")
+    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).select(*columns, F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))
 
 
 ORACLE_SQL = rf"""

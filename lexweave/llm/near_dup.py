@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import arrow_batches, broadcast_if_small, components, materialize
+from lexweave.llm.common import arrow_batches, broadcast_if_small, components, discard, free_name, materialize
 from lexweave.llm.shingles import mix, shingle_sets
 
 WIDTH = 5
@@ -30,6 +30,8 @@ SLOTS = BANDS * ROWS
 SIGMAS = 4.5
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 512
+#: Pairs of one text beyond which it is sent to several groups of so many.
+PAIRS = 4096
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,12 +76,12 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys
 
 
-FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
+FEATURES = "doc_id long, h long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
 
 
 def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: set size, a 128-bit digest of the set, band keys and a short signature."""
-    arrow_batches(docs.sparkSession, 1_000, "8m")
+    """Per row of ``docs(doc_id, text)``: a hash of the text, set size, a 128-bit digest of the set, band keys and a short signature."""
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +94,11 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
             short = mix(found.astype(np.uint64)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), keys, pa.array([r.tobytes() for r in short], pa.binary())],
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), keys, pa.array([r.tobytes() for r in short], pa.binary())],
                 [x.split()[0] for x in FEATURES.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, FEATURES)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, FEATURES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -120,6 +122,18 @@ def _close(sign: np.ndarray, other: np.ndarray, cut: float) -> np.ndarray:
     return (sign == other).mean(axis=-1) >= cut
 
 
+def _attach(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the columns that ``a`` and ``b`` hold of either. Texts of many pairs are sent to several groups."""
+    counts = pairs.groupBy("a").count().where(F.col("count") > PAIRS).select("a", F.ceil(F.col("count") / PAIRS).cast("int").alias("parts"))
+    if counts.isEmpty():
+        return pairs.join(b, "b").join(a, "a")
+    hot, _ = broadcast_if_small(counts)
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    left = pairs.join(hot, "a", "left").select("a", "b", part.alias("part"))
+    right = a.join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(b, "b").join(right, ["a", "part"]).drop("part")
+
+
 class _Search:
     def __init__(self, docs: DataFrame, percent: int, width: int):
         self.docs, self.percent, self.width = docs, percent, width
@@ -141,7 +155,7 @@ class _Search:
 
         one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
         two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
-        both = pairs.join(two, "b").join(one, "a").where(self.sized("n_a", "n_b"))
+        both = _attach(pairs, one, two).where(self.sized("n_a", "n_b"))
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def verify(self, pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
@@ -166,7 +180,9 @@ class _Search:
 
         one = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
         two = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-        return materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{label}-links")
+        links = materialize(_attach(pairs, one, two).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{label}-links")
+        discard(pairs, sets)
+        return links
 
     def across(self, members: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs that may link two components and share a bucket: ``members(key, rep, root)`` block against block."""
@@ -207,18 +223,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     id has several texts, the one with the largest set stands for it. Rows with a null id are linked with nothing and kept, with
     a null component. Other columns are ignored; an empty table gives no rows.
     """
+    found, roots, _ = _grouped(docs, percent, width)
+    joined = found.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("_id"), "left")
+    component = F.coalesce("root", "doc_id").cast("long")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of all rows, ``(_id, root)`` of all ids with words, and ``(doc_id, h)`` of the texts that stand for ids."""
     search = _Search(docs, percent, width)
     found = materialize(features(docs, width), "features")
     sets = ["n_shingles", "s1", "s2"]
-    chosen = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct(*sets)).alias("s"))
+    chosen = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct(*sets, "h")).alias("s"))
     full = materialize(chosen.select("doc_id", "s.*"), "documents")
     classes = materialize(full.groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("doc_id"), *sets)
     reps = found.join(first, ["doc_id", *sets], "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "bands", "signature"), "reps")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1").select("key", "center")
-    shared, _ = broadcast_if_small(materialize(shared, "buckets"))
+    buckets = materialize(keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1").select("key", "center"), "buckets")
+    shared, _ = broadcast_if_small(buckets)
     members = materialize(keyed.join(shared, "key"), "members")
     stars = materialize(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = search.verify(search.estimate(stars, reps), reps, "stars")
@@ -228,16 +252,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     pairs = search.across(labelled.join(open_keys, "key"), reps).join(stars, ["a", "b"], "left_anti")
-    roots = components(links.union(search.verify(pairs, reps, "across")))
+    more = search.verify(pairs, reps, "across")
+    roots = components(links.union(more))
     by_class = classes.join(roots, classes["rep"] == roots["node"], "left").select(*sets, F.coalesce("root", "rep").alias("root"))
-    by_id = full.join(by_class, sets).select(F.col("doc_id").alias("_id"), "root")
-    joined = found.select("doc_id", "n_shingles").join(by_id, F.col("doc_id") == F.col("_id"), "left")
-    component = F.coalesce("root", "doc_id").cast("long")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    by_id = materialize(full.join(by_class, sets).select(F.col("doc_id").alias("_id"), "root", F.col("h").alias("_h")), "roots")
+    discard(full, classes, reps, buckets, members, stars, labelled, links, more)
+    return found, by_id.select("_id", "root"), by_id
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; rows with a null id, and empty ones, stay."""
-    found = near_duplicates(docs, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each group, that of the smallest id.
+
+    Rows that repeat an id and its text are exact copies: one of them stays. If an id has several texts, the one with
+    the largest set is judged and the others stay. Rows with a null id, and those without words, stay.
+    """
+    found, _, by_id = _grouped(docs, percent, WIDTH)
+    gone = by_id.where("root <> _id").select("_id", "_h")
+    h, number = free_name(docs, "_text"), free_name(docs, "_copy")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    kept = hashed.join(gone, (hashed["doc_id"] == gone["_id"]) & (hashed[h] == gone["_h"]), "left_anti")
+    again = materialize(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "repeated")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = (kept["doc_id"] == again["_id"]) & (kept[h] == again["_h"])
+    # only rows that are repeated are numbered, in the order of all their columns
+    copies = kept.join(again, same, "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.to_json(F.struct(*docs.columns)))))
+    return kept.join(again, same, "left_anti").select(*docs.columns).union(copies.where(F.col(number) == 1).select(*docs.columns))

@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import decontaminate, langid, line_dedup, near_dup, packing
-from lexweave.llm.common import materialize
+from lexweave.llm.common import arrow_batches, free_name, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without a letter and those with a narrow margin go."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs.drop("rejected"), model).where(~F.col("rejected")).select(*docs.columns)
+    arrow_batches(spark)
+    return docs.where(~langid.verdict(F.col("text"), model)["rejected"])
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the repeats of lines that spread over many sites; a document of such repeats alone stays, empty."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    mark = free_name(docs, "n_removed")  # a column of that name is the input's own
+    kept = docs.withColumnRenamed("n_removed", mark) if mark != "n_removed" else docs
+    cleaned = line_dedup.remove_boilerplate(kept)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*(F.col(mark if c == "n_removed" else c).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

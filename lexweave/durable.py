@@ -46,6 +46,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """A materialised table with more rows: its plan doesn't grow."""
+    rows.select(*table.columns).write.options(**_LOCAL).mode("append").parquet(table._written_at)
+    out = table.sparkSession.read.schema(table.schema).parquet(table._written_at)
+    out._written_at = table._written_at
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no later action reads, so that they don't stay until the program ends."""
     for table in tables:

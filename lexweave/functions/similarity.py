@@ -89,7 +89,7 @@ def _counts(name: Column) -> Column:
 
 def name_profile(name: Column) -> Column:
     """What the bound needs of a name, to be computed once per distinct name."""
-    return F.struct(F.length(name).alias("size"), _counts(name).alias("multiset"))
+    return F.struct(F.length(name).alias("size"), _counts(name).alias("multiset"), (F.octet_length(name) == F.length(name)).alias("ascii"))
 
 
 def may_reach(a: Column, pa: Column, b: Column, pb: Column, threshold: float, scale: float = 0.1) -> Column:

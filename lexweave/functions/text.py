@@ -149,3 +149,23 @@ def snippet(text: Column, place: Column, around: int = 15) -> Column:
     start = F.greatest(F.size(before) - around + 1, F.lit(1))
     parts = F.concat(F.slice(before, start, around), F.array(place["matched"]), F.slice(after, 1, around))
     return F.when(place.isNotNull(), F.array_join(parts, " "))
+
+
+def edge_handle(collection: str, key: Column) -> Column:
+    """The name of a node in another store's edges; for export only, as edges here hold plain keys. Null for a null key."""
+    return F.concat(F.lit(collection + "/"), key.cast("string"))
+
+
+def preview(text: Column, n: int = 60) -> Column:
+    """The first ``n`` characters, on one line."""
+    return F.substring(F.regexp_replace(text, r"\s+", " "), 1, n)
+
+
+def decimals(number: Column, digits: int = 6) -> Column:
+    """A number with so many decimals and no grouping, as text."""
+    return F.replace(F.format_number(number, digits), F.lit(","), F.lit(""))
+
+
+def elapsed_minutes(start: Column, end: Column) -> Column:
+    """Minutes between two timestamps, to one decimal."""
+    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 60e6, 1)

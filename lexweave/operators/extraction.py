@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,22 +47,27 @@ def run_model(chunks: DataFrame, model: Extractor, partitions: int | None = None
 
 
 def _ask(model: Extractor, text: str | None) -> tuple[str | None, str | None]:
-    """Two budgets: the larger one is tried if the first answer doesn't parse. A failed call is an error at once."""
-    import json
-
+    """Two budgets: the larger one is tried if the first answer doesn't parse, or holds no list of entities that could be
+    filtered. A failed call is an error at once."""
     for budget in (1500, 3000):
         try:
             content = model.extract(text or "", budget)
         except Exception as e:  # the row's failure, kept with the row
             return None, f"{type(e).__name__}: {e}"
-        try:
-            json.loads(content)
-        except ValueError:
-            continue
-        return content, None
+        if _usable(content):
+            break
     return content, None
 
 
+def _usable(content: str) -> bool:
+    try:
+        answer = json.loads(content)
+    except ValueError:
+        return False
+    entities = answer.get("entities") if isinstance(answer, dict) else None
+    return isinstance(entities, list) and all(isinstance(e, dict) for e in entities)
+
+
 def extract(chunks: DataFrame, model: Extractor, partitions: int | None = None, model_name: str = "stub") -> tuple[DataFrame, DataFrame]:
     """(raw extractions, failures) of ``chunks(chunk_id, source_file, chunk_index, text)``.
 

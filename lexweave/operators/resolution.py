@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexweave import schemas
 from lexweave.config import Settings
-from lexweave.durable import components, materialize
+from lexweave.durable import append, components, discard, materialize
 from lexweave.functions import names as N
 from lexweave.functions import similarity as S
 from lexweave.models import Judge
@@ -143,7 +143,7 @@ def resolve_batch(mentions: DataFrame, graph: Graph, batch: int, judge: Judge, e
     Mentions without candidates found an entity and never reach the judge. Failed judgments come back as rows with an
     ``error`` and write nothing, so a later batch can take them up again.
     """
-    rows = materialize(_keyed(mentions), "mentions")
+    rows = materialize(_keyed(mentions), "batch")
     entities, edges, known = (graph.read(t, batch) for t in ("entities", "mentioned_in", "entity_mentions"))
     by_name = C.name_candidates(rows, entities, settings.name_threshold, settings.candidates)
     by_context = C.context_candidates(rows, known, entities, settings.candidates)
@@ -183,17 +183,19 @@ def resolve_batch(mentions: DataFrame, graph: Graph, batch: int, judge: Judge, e
 def resolve_batches(mentions: DataFrame, graph: Graph, judge: Judge, size: int, extractions: DataFrame | None = None, settings: Settings = Settings(), first: int = 0) -> DataFrame | None:
     """All mentions in order, ``size`` at a time, in batches numbered from ``first``. Returns the failed mentions' errors.
 
-    The driver sees only the number of batches.
+    The driver sees only the number of batches. The mentions are written first, so that each one's vector is computed
+    once; errors are appended to a table.
     """
-    ordered = _keyed(mentions).drop("_new")
-    bounds = ordered.select("_order").distinct()
-    total = bounds.count()
+    ordered = materialize(_keyed(mentions).drop("_new"), "mentions")
+    total = ordered.select("_order").distinct().count()
     ranked = materialize(_global_rank(ordered), "ordered")
+    discard(ordered)
     errors = None
     for batch in range(-(-total // size)):
         part = ranked.where((F.col("_rank") >= batch * size) & (F.col("_rank") < (batch + 1) * size)).drop("_rank", "_order")
         failed = resolve_batch(part, graph, first + batch, judge, extractions, settings).where("error is not null").select("mention_id", "error")
-        errors = failed if errors is None else errors.union(failed)
+        errors = materialize(failed, "errors") if errors is None else append(errors, failed)
+    discard(ranked)
     return errors
 
 
@@ -235,12 +237,19 @@ def resolve_bulk(mentions: DataFrame, threshold: float = 0.93, variant: S.Varian
 def clean_up(entities: DataFrame, judge: Judge, settings: Settings = Settings()) -> DataFrame:
     """Duplicates among the entities themselves: ``entity_id, root`` for all of them.
 
-    Pairs of similar names go to the judge; those judged the same are merged into the earliest founded.
+    Pairs of similar names go to the judge; those judged the same are merged into the earliest founded. Of a name that
+    many entities bear, each is compared with the earliest of that name, and other names with that one only: the
+    number of pairs grows with the entities and not with their square.
     """
-    pairs = C.similar_names(entities, entities, settings.name_threshold)
-    a = entities.select("type", "name", F.col("entity_id").alias("a"), F.col("founded").alias("fa"))
-    b = entities.select("type", F.col("name").alias("other"), F.col("entity_id").alias("b"), F.col("founded").alias("fb"))
-    both = pairs.join(a, ["type", "name"]).join(b, ["type", "other"]).where("fb < fa")
+    own = entities.select("type", "name", F.col("entity_id").alias("a"), F.col("founded").alias("fa"))
+    named = own.groupBy("type", "name").agg(F.min(F.struct("fa", "a")).alias("first"))
+    named = materialize(named.select("type", "name", F.col("first.a").alias("a"), F.col("first.fa").alias("fa")), "names")
+    other = named.select("type", F.col("name").alias("other"), F.col("a").alias("b"), F.col("fa").alias("fb"))
+    across = C.similar_names(named, named, settings.name_threshold).where("name <> other").select("type", "name", "other")
+    across = across.join(named, ["type", "name"]).join(other, ["type", "other"]).where("fb < fa")
+    within = own.join(other.withColumn("name", F.col("other")), ["type", "name"]).where("a <> b")
+    columns = ["a", "b", "fa", "fb", "name", "other"]
+    both = across.select(*columns).union(within.select(*columns))
     item = F.struct(F.lit(1).alias("pos"), F.col("b").alias("entity_id"), F.col("other").alias("name"), F.lit("jaro_winkler").alias("source"))
     judged = materialize(J.ask(both.select("a", "b", "fa", "fb", "name", F.array(item).alias("candidates")), judge, settings.model_partitions), "clean-up")
     same = judged.where((F.try_element_at("judgments", F.lit(1))["verdict"] == "same") & F.col("error").isNull())

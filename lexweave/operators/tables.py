@@ -5,15 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.durable import discard, materialize
 
-def replace_by_source(old: DataFrame, new: DataFrame, key: str = "source_file") -> DataFrame:
-    """All rows of ``old`` whose source doesn't come again, and all of ``new``: re-ingesting leaves nothing behind."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
+#: Folders of a table on disk that is replaced by source: a source's rows lie in one of them.
+BUCKETS = 64
 
-def write_replacing(new: DataFrame, path: str, key: str = "source_file") -> None:
-    """The same on disk: dynamic partition overwrite rewrites only the partitions of the sources in ``new``."""
-    new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(key).parquet(path)
+
+def replace_by_source(old: DataFrame, new: DataFrame, key: str = "source_file", sources: DataFrame | None = None) -> DataFrame:
+    """All rows of ``old`` but those of the processed ``sources(key)``, and all of ``new``: nothing old is left behind.
+
+    ``sources`` are those of ``new`` if they aren't given; give them where a source may have no row any more. A row
+    of ``old`` with a null key stays; repeated rows are carried along; empty tables leave the other one.
+    """
+    gone = (new if sources is None else sources).select(key).distinct()
+    return old.join(gone, key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def write_replacing(new: DataFrame, path: str, key: str = "source_file", sources: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """The same on disk, in folders by a hash of the source: only those that hold a processed source are rewritten.
+
+    Running it again changes nothing. A folder that is left without rows is deleted.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    gone = (new if sources is None else sources).select(key).distinct()
+    touched = [r[0] for r in gone.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    disk = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = new.withColumn("bucket", bucket)
+    if disk.exists(place(path)):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        rows = old.join(gone, key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    rows = materialize(rows, "replacing")  # what is overwritten was read
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+    left = {r[0] for r in rows.select("bucket").distinct().collect()}
+    for b in set(touched) - left:
+        disk.delete(place(f"{path}/bucket={b}"), True)
+    discard(rows)
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -24,21 +53,39 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    """Rows without a counterpart in ``done``: what a resumed run still has to do."""
-    return rows.join(done.select(*keys), list(keys), "left_anti")
+    """Rows without a counterpart in ``done``: what a resumed run still has to do.
+
+    A null key equals a null key here, so a row with one is done once it was done. Repeated rows are carried along; an
+    empty ``done`` leaves all rows, an empty ``rows`` none.
+    """
+    return rows.join(*_matched(rows, done, keys), "left_anti")
 
 
 def present(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    return rows.join(done.select(*keys), list(keys), "left_semi")
+    """Rows with a counterpart in ``done``, nulls as above."""
+    return rows.join(*_matched(rows, done, keys), "left_semi")
+
+
+def _matched(rows: DataFrame, done: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list]:
+    other = done.select(*(F.col(k).alias(f"_done_{k}") for k in keys))
+    return other, [rows[k].eqNullSafe(other[f"_done_{k}"]) for k in keys]
 
 
 def limited(rows: DataFrame, done: DataFrame, n: int, *order: str, key: str = "chunk_id", count_done: bool = False) -> DataFrame:
-    """The first ``n`` pending rows in order; with ``count_done`` rows that are done use up the limit as well."""
+    """The first ``n`` pending rows in order; with ``count_done`` rows that are done use up the limit as well.
+
+    Null keys as in ``pending``; nulls come first in order; of rows that are equal in order any may be taken.
+    """
     if count_done:
         return pending(rows.orderBy(*order).limit(n), done, key)
     return pending(rows, done, key).orderBy(*order).limit(n)
 
 
+def random_pick(rows: DataFrame, key: str, seed: int = 0, n: int = 1) -> DataFrame:
+    """``n`` rows picked at random: those with the smallest seeded hashes of their keys, so a run can be repeated."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def unprocessed(rows: DataFrame, flag: str = "dedup_processed") -> DataFrame:
     """Rows whose flag is null or false."""
     return rows.where(~F.col(flag).eqNullSafe(True))

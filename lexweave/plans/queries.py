@@ -37,7 +37,8 @@ def query(sql: str | None = None):
 
 @query(f"WITH {I.CHUNKS} SELECT chunk_id, source_file, chunk_index, text, word_count FROM chunks")
 def scan_chunks(spark, sf):
-    return I.chunks(spark, sf)
+    """A full scan of the chunk table as it is stored."""
+    return materialize(I.chunks(spark, sf), "chunks")
 
 
 @query(f"WITH {I.CHUNKS} SELECT chunk_id, word_count FROM chunks ORDER BY chunk_id LIMIT 2000")
@@ -89,11 +90,12 @@ def pdf_only(spark, sf):
 
 
 @query("""WITH old AS (SELECT source AS source_file, doc_id, n_chars FROM documents), new AS (SELECT source AS source_file, doc_id, n_chars + 1 AS n_chars FROM documents WHERE source IN ('src3', 'src4') AND doc_id % 2 = 0)
-SELECT * FROM old WHERE source_file NOT IN (SELECT source_file FROM new) UNION ALL SELECT * FROM new""")
+SELECT * FROM old WHERE source_file NOT IN ('src3', 'src4', 'src5') UNION ALL SELECT * FROM new""")
 def replace_by_source(spark, sf):
+    """Three sources are processed again; one of them has no row any more."""
     old = I.table(spark, sf, "documents").select(F.col("source").alias("source_file"), "doc_id", "n_chars")
     new = old.where(F.col("source_file").isin("src3", "src4") & (F.col("doc_id") % 2 == 0)).withColumn("n_chars", F.col("n_chars") + 1)
-    return tables.replace_by_source(old, new)
+    return tables.replace_by_source(old, new, sources=old.where(F.col("source_file").isin("src3", "src4", "src5")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer
@@ -361,19 +363,10 @@ def jaro_winkler_pairs(spark, sf):
     return pairs.select("a", "b", F.round(S.jaro_winkler(S.BYTES)(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query(f"WITH {I.VECTORS} SELECT a.vector_id AS a, b.vector_id AS b, round(1 - list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) + 0.0 AS distance FROM vectors a JOIN vectors b ON a.type = b.type AND a.vector_id < b.vector_id WHERE a.vector_id % 10 = 0")
+@query(f"WITH {I.VECTORS} SELECT a.vector_id AS a, b.vector_id AS b, round(1 - list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) + 0.0 AS distance FROM vectors a JOIN vectors b ON a.type = b.type AND a.vector_id < b.vector_id")
 def cosine_pairs(spark, sf):
-    return _cosine_pairs(spark, sf, "vector_id % 10 = 0")
-
-
-@query(ORACLE_SQL["cosine_pairs"].replace(" WHERE a.vector_id % 10 = 0", ""))
-def cosine_pairs_all(spark, sf):
-    return _cosine_pairs(spark, sf, "true")
-
-
-def _cosine_pairs(spark, sf, where):
     v = I.vectors(spark, sf)
-    a = v.where(where).select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"), S.norm(F.col("vector")).alias("nx"))
+    a = v.select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"), S.norm(F.col("vector")).alias("nx"))
     b = v.select(F.col("vector_id").alias("b"), "type", F.col("vector").alias("y"), S.norm(F.col("vector")).alias("ny"))
     distance = S.cosine_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
     return a.join(b, "type").where("a < b").select("a", "b", (F.round(distance, 6) + 0.0).alias("distance"))
@@ -443,26 +436,17 @@ def mention_entity_names(spark, sf):
     return hits.join(I.entities(spark, sf).select("entity_id", "name"), "entity_id", "left").select("query_id", "vector_id", "name")
 
 
-#: Pairs of some parts in SQL, and those of all parts within blocks of 20 keys, so that they grow with the parts.
-_SOME_PARTS = "a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200", "a.p_partkey // 20 = b.p_partkey // 20"
+#: Pairs of parts within blocks of 20 keys, so that they grow with the parts.
+_BLOCKED = "a.p_partkey // 20 = b.p_partkey // 20"
 
 
-@query(f"""WITH {I.PARTS}, q AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS a, CASE WHEN b.p_partkey % 13 <> 0 THEN b.roled END AS b FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
+@query(f"""WITH {I.PARTS}, q AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS a, CASE WHEN b.p_partkey % 13 <> 0 THEN b.roled END AS b FROM parts a JOIN parts b ON {_BLOCKED})
 SELECT x, y FROM q WHERE b IS NULL OR {_GENERIC_SQL.format("a")} OR {_GENERIC_SQL.format("b")} OR {_SHARES_SQL} OR {_ACRONYM_SQL}""")
 def embedding_prefilter(spark, sf):
-    return _embedding_prefilter(spark, sf, "p_partkey < 200", F.col("x") % 97 == F.col("y") % 89)
-
-
-@query(ORACLE_SQL["embedding_prefilter"].replace(*_SOME_PARTS))
-def embedding_prefilter_all(spark, sf):
-    return _embedding_prefilter(spark, sf, "true", F.expr("x div 20 = y div 20"))
-
-
-def _embedding_prefilter(spark, sf, where, on):
     p = I.parts(spark, sf)
-    a = p.where(where).select(F.col("p_partkey").alias("x"), F.col("roled").alias("a"))
+    a = p.select(F.col("p_partkey").alias("x"), F.col("roled").alias("a"))
     b = p.select(F.col("p_partkey").alias("y"), F.when(F.col("p_partkey") % 13 != 0, F.col("roled")).alias("b"))
-    pairs = a.join(b, on)
+    pairs = a.join(b, F.expr("x div 20 = y div 20"))
     return pairs.where(T.keep_context_match(F.col("a"), F.col("b"))).select("x", "y")
 
 
@@ -484,25 +468,16 @@ def union_candidates(spark, sf):
 
 @query(f"""WITH {I.VERDICTS}, {I.ENTITIES}, edges AS (SELECT 'e' || ps AS entity_id, 'c' || su AS chunk_id, min(ln) AS role FROM (SELECT l_partkey AS ps, l_suppkey AS su, l_linenumber AS ln FROM lineitem WHERE l_partkey % 2 = 0) GROUP BY 1, 2),
 c AS (SELECT mention_id, pos, entity_id, CASE WHEN pos % 3 = 0 THEN 'given' END AS name, CASE WHEN l_suppkey % 4 <> 0 THEN 'c' || l_suppkey END AS chunk_id FROM verdicts),
-{I.FILINGS}, x AS (SELECT 'c' || o_orderkey AS chunk_id, o_orderstatus FROM filings WHERE o_orderkey < 60)
+{I.FILINGS}, x AS (SELECT 'c' || o_orderkey AS chunk_id, o_orderstatus FROM filings)
 SELECT c.mention_id, CAST(c.pos AS INTEGER) AS pos, c.entity_id, coalesce(c.name, e.name) AS name, CAST(g.role AS VARCHAR) AS role, x.o_orderstatus AS status
 FROM c LEFT JOIN entities e ON c.entity_id = e.entity_id LEFT JOIN edges g ON c.entity_id = g.entity_id AND c.chunk_id = g.chunk_id LEFT JOIN x ON c.chunk_id = x.chunk_id""")
 def enrich_candidates(spark, sf):
-    return _enrich_candidates(spark, sf, "o_orderkey < 60")
-
-
-@query(ORACLE_SQL["enrich_candidates"].replace(" WHERE o_orderkey < 60", ""))
-def enrich_candidates_all(spark, sf):
-    return _enrich_candidates(spark, sf, "true")
-
-
-def _enrich_candidates(spark, sf, where):
     v = I.verdicts(spark, sf)
     chunk = F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("c"), "l_suppkey"))
     cand = v.select("mention_id", "pos", "entity_id", F.when(F.col("pos") % 3 == 0, "given").alias("name"), chunk.alias("chunk_id"))
     li = I.table(spark, sf, "lineitem").where("l_partkey % 2 = 0")
     edges = li.groupBy(F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.concat(F.lit("c"), "l_suppkey").alias("chunk_id")).agg(F.min("l_linenumber").cast("string").alias("role"))
-    facts = I.filings(spark, sf).where(where).select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), F.array("o_orderstatus").alias("docket_numbers"), F.array("text").alias("dates"))
+    facts = I.filings(spark, sf).select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), F.array("o_orderstatus").alias("docket_numbers"), F.array("text").alias("dates"))
     rows = judgment.enrich(cand, I.entities(spark, sf), edges.withColumn("textual_evidence", F.lit("t")), facts)
     return rows.select("mention_id", "pos", "entity_id", "name", "role", F.try_element_at("docket_numbers", F.lit(1)).alias("status"))
 
@@ -543,23 +518,14 @@ def zip_judgments(spark, sf):
 
 
 @query(f"""WITH {I.PARTS}, r AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.roled AS mention_name, b.roled AS name, CASE WHEN b.p_partkey % 3 = 0 THEN 'jaro_winkler' ELSE 'embedding' END AS source,
-  CASE WHEN b.p_partkey % 5 < 3 THEN 'same' ELSE 'different' END AS verdict FROM parts a JOIN parts b ON a.p_partkey % 97 = b.p_partkey % 89 WHERE a.p_partkey < 200)
+  CASE WHEN b.p_partkey % 5 < 3 THEN 'same' ELSE 'different' END AS verdict FROM parts a JOIN parts b ON {_BLOCKED})
 SELECT x, y, CASE WHEN verdict = 'same' AND source <> 'jaro_winkler' AND NOT {_GENERIC_SQL.format("mention_name")} AND NOT {_GENERIC_SQL.format("name")} AND jaro_winkler_similarity(mention_name, name) < 0.6 THEN 'unsure' ELSE verdict END AS verdict FROM r""")
 def false_merge_guard(spark, sf):
-    return _false_merge_guard(spark, sf, "p_partkey < 200", F.col("x") % 97 == F.col("y") % 89)
-
-
-@query(ORACLE_SQL["false_merge_guard"].replace(*_SOME_PARTS))
-def false_merge_guard_all(spark, sf):
-    return _false_merge_guard(spark, sf, "true", F.expr("x div 20 = y div 20"))
-
-
-def _false_merge_guard(spark, sf, where, on):
     p = I.parts(spark, sf)
-    a = p.where(where).select(F.col("p_partkey").alias("x"), F.col("roled").alias("mention_name"))
+    a = p.select(F.col("p_partkey").alias("x"), F.col("roled").alias("mention_name"))
     k = F.col("p_partkey")
     b = p.select(k.alias("y"), F.col("roled").alias("name"), F.when(k % 3 == 0, "jaro_winkler").otherwise("embedding").alias("source"), F.when(k % 5 < 3, "same").otherwise("different").alias("verdict"), F.lit("r").alias("reason"))
-    return judgment.guard_rows(a.join(b, on), variant=S.BYTES).select("x", "y", "verdict")
+    return judgment.guard_rows(a.join(b, F.expr("x div 20 = y div 20")), variant=S.BYTES).select("x", "y", "verdict")
 
 
 @query(f"WITH {I.VERDICTS} SELECT mention_id, arg_min(entity_id, pos) FILTER (WHERE verdict = 'same') AS merged_into, CASE WHEN count(*) FILTER (WHERE verdict = 'same') > 0 THEN 0 ELSE CAST(count(*) FILTER (WHERE verdict = 'unsure') AS INTEGER) END AS n_flags FROM verdicts GROUP BY 1")
@@ -602,9 +568,12 @@ def upload_progress(spark, sf):
 # resolution
 
 
-def _mentions(spark, sf, variants: bool = True) -> DataFrame:
-    """A mention per part name and brand, with a context vector."""
-    rows = I.entities(spark, sf)
+def _mentions(spark, sf, variants: bool = True, per_part: bool = True) -> DataFrame:
+    """A mention per part, or per part name and brand, with a context vector."""
+    if per_part:
+        rows = I.table(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("founded"), F.col("p_name").alias("name"), F.substring("p_brand", 1, 7).alias("type"))
+    else:
+        rows = I.entities(spark, sf)
     name = F.when(F.substring("founded", -1, 1).isin("3", "7"), F.concat("name", F.lit("s"))).otherwise(F.col("name")) if variants else F.col("name")
     rows = rows.select(
         F.concat(F.lit("f"), F.substring("founded", -2, 2)).alias("source_file"), F.col("founded").cast("int").alias("chunk_index"), F.lit(0).alias("entity_index"), name.alias("name"), "type",
@@ -616,7 +585,7 @@ def _mentions(spark, sf, variants: bool = True) -> DataFrame:
 @query()
 def resolve_fold(spark, sf):
     """The exact sequential fold over a mention per name and brand."""
-    return resolution.fold(_mentions(spark, sf), RuleJudge()).select("mention_id", "type", "entity_id", "is_new", F.size("flags").alias("n_flags"))
+    return resolution.fold(_mentions(spark, sf, per_part=False), RuleJudge()).select("mention_id", "type", "entity_id", "is_new", F.size("flags").alias("n_flags"))
 
 
 @query()
@@ -629,16 +598,69 @@ def resolve_micro_batches(spark, sf):
     return resolution.repoint(graph.read("mentioned_in").select("chunk_id", "entity_index", "entity_id"), roots, "entity_id").select("chunk_id", "entity_index", "entity_id")
 
 
-@query(f"""WITH {I.ENTITIES} SELECT e.type, count(*) AS n_mentions, count(DISTINCT e.name) AS n_names FROM entities e GROUP BY 1""")
+@query("""SELECT substr(p_brand, 1, 7) AS type, count(*) AS n_mentions, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1""")
 def resolve_bulk_exact_names(spark, sf):
     """With a threshold of 1 the bulk forest is grouping by name: roots per type are its distinct names."""
     found = resolution.resolve_bulk(_mentions(spark, sf, variants=False), threshold=1.0)
     return found.groupBy("type").agg(F.count("*").alias("n_mentions"), F.count_distinct("entity_id").alias("n_names"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS k, p_partkey AS i, substr(p_brand, 1, 7) AS type, p_name || CASE WHEN p_partkey % 10 IN (3, 7) THEN 's' ELSE '' END AS name FROM part),
+rows AS (SELECT type, name, 'f' || right(k, 2) || '_' || i || '#0' AS mention_id, 'f' || right(k, 2) || '_' || i AS chunk_id, 'f' || right(k, 2) || '|' || lpad(CAST(i AS VARCHAR), 10, '0') || '|000000' AS placed FROM m),
+named AS (SELECT type, name, min(placed) AS placed, arg_min(substr(sha256(chunk_id || '|0'), 1, 24), placed) AS entity_id FROM rows GROUP BY 1, 2),
+up AS (SELECT n.type, n.name, arg_min(o.name, o.placed) AS parent FROM named n JOIN named o ON n.type = o.type AND o.placed < n.placed AND jaro_winkler_similarity(n.name, o.name) >= 0.93 GROUP BY 1, 2),
+climb AS (SELECT type, name, name AS top FROM named UNION ALL SELECT c.type, c.name, u.parent FROM climb c JOIN up u ON u.type = c.type AND u.name = c.top),
+roots AS (SELECT c.type, c.name, c.top FROM climb c WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.type = c.type AND u.name = c.top))
+SELECT r.mention_id, r.type, n.entity_id FROM rows r JOIN roots t ON t.type = r.type AND t.name = r.name JOIN named n ON n.type = t.type AND n.name = t.top""")
 def resolve_bulk(spark, sf):
-    return resolution.resolve_bulk(_mentions(spark, sf))
+    return resolution.resolve_bulk(_mentions(spark, sf), variant=S.BYTES)
+
+
+# exports and reports
+
+
+@query("SELECT o_orderkey, 'customers/' || o_custkey AS handle FROM orders")
+def edge_handles(spark, sf):
+    return I.table(spark, sf, "orders").select("o_orderkey", T.edge_handle("customers", F.col("o_custkey")).alias("handle"))
+
+
+@query(r"SELECT doc_id, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 60) AS preview, printf('%.6f', n_chars / 7.0::DOUBLE) AS shown FROM documents")
+def previews(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.decimals(F.col("n_chars") / F.lit(7.0)).alias("shown"))
+
+
+@query("SELECT o_orderkey, round((epoch_us(o_orderdate::TIMESTAMP + INTERVAL 1 SECOND * (o_orderkey % 7777)) - epoch_us(o_orderdate::TIMESTAMP)) / 60e6, 1) AS minutes FROM orders")
+def elapsed(spark, sf):
+    start = F.col("o_orderdate").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(start) + (F.col("o_orderkey") % 7777) * 1_000_000)
+    return I.table(spark, sf, "orders").select("o_orderkey", T.elapsed_minutes(start, end).alias("minutes"))
+
+
+@query()
+def random_pick(spark, sf):
+    """One customer, the same one for a seed."""
+    return tables.random_pick(I.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", seed=42)
+
+
+@query("""WITH u AS (SELECT 'user' || c_custkey AS file, c_name FROM customer WHERE c_custkey % 3 <> 0)
+SELECT event_id, 'user' || user_id AS file, c_name FROM events JOIN u ON u.file = 'user' || user_id""")
+def event_rows(spark, sf):
+    events = I.table(spark, sf, "events").select("event_id", F.concat(F.lit("user"), "user_id").alias("file"))
+    uploads = I.table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("user"), "c_custkey").alias("file"), "c_name")
+    return ingest.event_rows(events, uploads)
+
+
+@query(f"""WITH lines AS (SELECT 'doc' || doc_id || '.pdf' AS source_file, unnest(range(len(a))) AS section, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+worded AS (SELECT *, {I._SPLIT.format("text")} AS w FROM lines), counted AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 350 THEN 1 ELSE CAST(ceil((len(w) - 350) / 300.0) AS INTEGER) + 1 END AS k FROM worded),
+placed AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY source_file ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counted),
+numbered AS (SELECT *, unnest(range(k)) AS i FROM placed WHERE k > 0)
+SELECT source_file, CAST(before + i AS INTEGER) AS chunk_index, CAST(section AS INTEGER) AS section, array_to_string(w[i * 300 + 1 : i * 300 + 350], ' ') AS text, CASE WHEN section % 3 = 0 THEN 'public' WHEN section % 3 = 1 THEN 'redacted' END AS classification FROM numbered""")
+def sensitivity_chunks(spark, sf):
+    """Every line is a section of its own class: no chunk holds words of two."""
+    lines = I.sources(spark, sf).select("source_file", F.posexplode(F.split("text", "\n", -1)).alias("section", "text"))
+    k = F.col("section") % 3
+    labelled = lines.withColumn("classification", F.when(k == 0, "public").when(k == 1, "redacted"))
+    return chunking.chunk_sections(labelled).select("source_file", "chunk_index", "section", "text", "classification")
 
 
 # retrieval

@@ -35,7 +35,8 @@ def ingest_batch(files: DataFrame, chunks_path: str, parse: Callable[[bytes], li
         chunks = chunking.chunk_pages(good, settings.chunk_words, settings.overlap_words)
         if embedder is not None:
             chunks = C.embed(chunks, embedder, "text", "vector")
-        tables.write_replacing(chunks, chunks_path)
+        # a source that has no chunk any more is replaced too; one that can't be read keeps what it had
+        tables.write_replacing(chunks, chunks_path, sources=good.select("source_file"))
         words = chunking.page_words(good).select("source_file", F.size("words").alias("total_words"))
         n = words.select("source_file", "total_words", F.lit(None).cast("string").alias("error"))
         failed = pages.where("error is not null").select("source_file", F.lit(None).cast("int").alias("total_words"), "error")
@@ -78,6 +79,14 @@ class ProgressLog(StreamingQueryListener):
         self.events.append({"type": "error" if event.exception else "done", "id": str(event.id)})
 
 
+def event_rows(events: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``events(file, ...)`` with the columns of ``uploads(file, ...)`` they belong to; events of unknown files are ignored.
+
+    A null file belongs to nothing; repeated events stay, repeated uploads of one file give a row each.
+    """
+    return events.join(uploads, "file")
+
+
 def upload_progress(events: DataFrame) -> DataFrame:
     """Per run of ``events(run, type)``: files started, done and failed, and the finished share."""
     started, done, failed = (F.count_if(F.col("type") == t) for t in ("start", "done", "error"))

@@ -36,7 +36,7 @@ def test_query(spark, duck, sf, name):
 
 def test_without_sql(spark, sf):
     assert Q.QUERIES["model_extraction"](spark, sf).count() > 0
-    assert set(Q.QUERIES) - set(Q.ORACLE_SQL) == {"model_extraction", "resolve_fold", "resolve_micro_batches", "resolve_bulk"}
+    assert set(Q.QUERIES) - set(Q.ORACLE_SQL) == {"model_extraction", "resolve_fold", "resolve_micro_batches", "random_pick"}
 
 
 def test_entry(spark):

@@ -87,3 +87,30 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, **{i: 100 for i in (100, 101, 102, 200)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+class CountedEmbedder(HashingEmbedder):
+    """Notes every text that it is asked for, in a file, as workers are other processes."""
+
+    def embed(self, texts):
+        with open(self.log, "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return super().embed(texts)
+
+
+def test_each_vector_is_computed_once(spark, tmp_path):
+    embedder = CountedEmbedder()
+    object.__setattr__(embedder, "log", str(tmp_path / "log"))
+    rows = [(f"f{i}", i, 0, n, "person", f"f{i}_{i}", "none", n, "explicit", n, f"text {i}") for i, n in enumerate(NAMES)]
+    lazy = C.embed(spark.createDataFrame(rows, COLUMNS), embedder)
+    R.resolve_batches(lazy, R.Graph(spark, str(tmp_path / "graph")), RuleJudge(), 4)
+    asked = (tmp_path / "log").read_text().split("\n")[:-1]
+    assert sorted(asked) == sorted(f"text {i}" for i in range(len(NAMES)))
+
+
+def test_clean_up_of_a_hot_name_is_linear(spark, tmp_path):
+    n = 3000
+    rows = [(f"e{i:05d}", "Anna Stone", "person", f"{i:05d}") for i in range(n)] + [("x", "Anna Stones", "person", "99999"), ("y", "Carl Brook", "person", "99998")]
+    got = {r["entity_id"]: r["root"] for r in R.clean_up(spark.createDataFrame(rows, "entity_id string, name string, type string, founded string"), RuleJudge()).collect()}
+    assert len(got) == n + 2 and got["y"] == "y"
+    assert {root for e, root in got.items() if e != "y"} == {"e00000"}

@@ -36,6 +36,73 @@ def test_replace_is_idempotent(spark, tmp_path):
     assert values(spark.read.parquet(path).select("source_file", "i")) == [("f", 0), ("g", 0)]
 
 
+def test_a_source_without_rows_is_replaced(spark, tmp_path):
+    old = spark.createDataFrame([("x.pdf", 0), ("y.pdf", 0), ("z.pdf", 0)], "source_file string, i int")
+    none, done = old.where("false"), spark.createDataFrame([("x.pdf",)], "source_file string")
+    assert values(B.replace_by_source(old, none, sources=done)) == [("y.pdf", 0), ("z.pdf", 0)]
+    path = str(tmp_path / "t")
+    B.write_replacing(old, path)
+    for _ in range(2):
+        B.write_replacing(none, path, sources=done)
+        assert values(spark.read.parquet(path).select("source_file", "i")) == [("y.pdf", 0), ("z.pdf", 0)]
+    B.write_replacing(old, path, buckets=64)
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("bucket=")]) <= 3
+
+
+def test_pending_with_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), ("a", 2), ("b", 3)], "chunk_id string, n int")
+    done = spark.createDataFrame([(None,), ("b",), ("b",)], "chunk_id string")
+    assert values(B.pending(rows, done, "chunk_id")) == [("a", 2), ("a", 2)]
+    assert values(B.present(rows, done, "chunk_id")) == sorted([(None, 1), ("b", 3)], key=repr)
+    assert B.pending(rows, done.where("false"), "chunk_id").count() == 4
+
+
+class Budgets:
+    """Answers that get better with the larger budget; what was asked is kept in a file, as workers are other processes."""
+
+    def __init__(self, answers, log):
+        self.answers, self.log = answers, log
+
+    def extract(self, text, budget):
+        with open(self.log, "a") as f:
+            f.write(f"{text} {budget}\n")
+        return self.answers[text][budget > 1500]
+
+
+def test_second_budget(spark, tmp_path):
+    good = json.dumps({"entities": []})
+    answers = {"whole": (good, "x"), "cut": ('{"entities": [', good), "without": ('{"other": 1}', good), "nulls": ('{"entities": [null]}', good), "never": ("{}", "{}")}
+    rows = spark.createDataFrame([(t, "f", 0, t) for t in answers], "chunk_id string, source_file string, chunk_index int, text string")
+    got = X.parse_entities(X.run_model(rows.coalesce(1), Budgets(answers, str(tmp_path / "log")))).select("chunk_id", "error").collect()
+    assert {r["chunk_id"] for r in got if r["error"]} == {"never"}
+    asked = (tmp_path / "log").read_text().split("\n")[:-1]
+    assert sorted(asked) == sorted(["whole 1500", *(f"{t} {b}" for t in ("cut", "without", "nulls", "never") for b in (1500, 3000))])
+
+
+def test_chunks_of_long_texts_in_linear_time(spark):
+    import time
+
+    from lexweave.operators import chunking
+
+    took = []
+    for n in (50_000, 400_000):
+        df = spark.range(1).select(F.lit("a.pdf").alias("source_file"), F.repeat(F.lit("word "), n).alias("text"))
+        began = time.perf_counter()
+        assert chunking.chunk_texts(df).agg(F.sum("word_count")).first()[0] >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 2
+
+
+def test_sections_are_never_mixed(spark):
+    from lexweave.operators import chunking
+
+    rows = [("a.pdf", 2, "x " * 400, "secret"), ("a.pdf", 1, "y " * 10, "public"), ("a.pdf", 3, None, None), ("a.pdf", 4, "z", None), ("b.pdf", 1, "", "public")]
+    got = chunking.chunk_sections(spark.createDataFrame(rows, "source_file string, section int, text string, classification string")).orderBy("chunk_index").collect()
+    assert [(r["chunk_id"], r["section"], r["word_count"], r["classification"], set(r["text"].split())) for r in got] == [
+        ("a_0", 1, 10, "public", {"y"}), ("a_1", 2, 350, "secret", {"x"}), ("a_2", 2, 100, "secret", {"x"}), ("a_3", 4, 1, None, {"z"}),
+    ]
+
+
 def test_upsert_with_null_keys(spark):
     old = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
     new = spark.createDataFrame([(None, "x"), (3, "y")], "k int, v string")

@@ -1,5 +1,7 @@
 """Benchmark decontamination: whole and re-parameterised items, slots that don't fit, odd tables, and the planted passages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,12 +22,56 @@ def test_copies(spark):
     mixed = "so " + ITEM.replace("Anna gave", "Zoe gave").replace("Peter 4 apples", "Peter 12 apples")
     docs = [(1, f"x {ITEM} y"), (2, f"x {changed}"), (3, ITEM.upper()), (4, "a\n\n" + ITEM.replace(" ", "  ") + "!"), (5, mixed), (6, ITEM[:80]), (7, ITEM[: len(ITEM) // 3]), (8, "nothing of the kind in this text of some more words")]
     got, d, b = run(spark, docs, [(1, ITEM)])
-    assert {k for k, _ in got} == {1, 2, 3, 4, 6} | ({5} if (5, 1) in got else set())
+    assert {k for k, _ in got} == {1, 2, 3, 4, 5, 6}  # 5 keeps the words before its clash, more than enough
     assert got[(1, 1)][1] == 0 and got[(2, 1)][1] >= 4 and got[(4, 1)][1] == 0
     kept = {r["doc_id"] for r in D.decontaminate(d, b).collect()}
     assert kept == {i for i, _ in docs} - {k for k, _ in got}
 
 
+PLAIN = "box river stone green table window carries under quiet paper light yellow garden before slowly winter harbour simple ladder copper".split()
+PEOPLE = "Anna Bruno Carla Dario Elena Fabio Greta Hugo Irene Jonas".split()
+
+
+def kinds(words):
+    return ["name" if w in PEOPLE else "number" if w.isdigit() else w for w in words]
+
+
+def whole(doc, item):
+    """Brute force: the item's template stands somewhere in the document, and its slots are filled consistently."""
+    for at in range(len(doc) - len(item) + 1):
+        part = doc[at : at + len(item)]
+        if kinds(part) == kinds(item):
+            slots = [(b, d) for b, d in zip(item, part) if kinds([b])[0] in ("name", "number")]
+            to, back = {}, {}
+            if all(to.setdefault(b, d) == d and (d.isdigit() or back.setdefault(d, b) == b) for b, d in slots):
+                return True
+    return False
+
+
+def test_reparameterised_items_by_brute_force(spark):
+    r = random.Random(8)
+    items, docs = {}, {}
+    for i in range(12):
+        words = [r.choice(PLAIN) for _ in range(r.randint(20, 40))]
+        person, number = r.sample(PEOPLE, 2), [str(r.randint(2, 9)), str(r.randint(10, 99))]
+        for k in range(2, len(words), 4):  # a slot in every window, so that a clash leaves no window alone
+            words[k] = person[k // 4 % 2] if k // 4 % 3 else number[k // 4 % 2]
+        items[i] = words
+        change = dict(zip(person, r.sample([p for p in PEOPLE if p not in person], 2))) | {n: str(int(n) + 100) for n in number}
+        noise = lambda: [r.choice(PLAIN) + "s" for _ in range(r.randint(0, 9))]
+        docs[10 * i] = noise() + [change.get(w, w) for w in words] + noise()
+        docs[10 * i + 1] = noise() + words + noise()
+        fresh = iter(range(200, 300))
+        docs[10 * i + 2] = noise() + [str(next(fresh)) if w.isdigit() else r.choice(PEOPLE) if w in PEOPLE else w for w in words] + noise()
+        docs[10 * i + 3] = noise() + r.sample(words, len(words)) + noise()
+    want = {(d, i) for d, words in docs.items() for i, item in items.items() if whole(words, item)}
+    # what the slots' clashes leave is another matter: only documents that are consistent throughout, or in no part, are compared
+    got, _, _ = run(spark, [(d, " ".join(w)) for d, w in docs.items()], [(i, " ".join(w)) for i, w in items.items()])
+    sure = lambda pairs: {(d, i) for d, i in pairs if d % 10 != 2}
+    assert sure(got) == sure(want) and {(10 * i, i) for i in items} | {(10 * i + 1, i) for i in items} == sure(want)
+    assert all(got[(10 * i, i)][1] == 4 and got[(10 * i + 1, i)][1] == 0 for i in items)
+
+
 def test_slots_must_fit(spark):
     item = "the first bag holds 5 stones and the second bag holds 5 stones while the third bag holds 9 stones in all"
     fits = item.replace("5", "6").replace("9", "8")

@@ -5,8 +5,11 @@ The stubs are deterministic stand-ins of this library, not language models: resu
 
 from __future__ import annotations
 
+import http.client
 import json
 import re
+import threading
+import urllib.parse
 import zlib
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -16,6 +19,10 @@ import numpy as np
 from lexweave.functions.similarity import jaro_winkler_arrays
 
 
+#: Open connections of this process, by thread.
+_connections = threading.local()
+
+
 class Embedder(Protocol):
     """Vectors in the order of the texts, one batch per call."""
 
@@ -87,11 +94,27 @@ class HttpModel:
     options: dict[str, Any] = field(default_factory=dict)
 
     def _post(self, path: str, body: dict[str, Any]) -> dict[str, Any]:
-        import urllib.request
-
-        request = urllib.request.Request(self.url.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return json.load(answer)
+        """One connection per process and thread is kept open; one that the server has closed is opened again."""
+        place = urllib.parse.urlsplit(self.url)
+        key = (place.scheme, place.netloc)
+        known = _connections.__dict__.setdefault("open", {})
+        while True:
+            kept = known.pop(key, None)
+            kind = http.client.HTTPSConnection if place.scheme == "https" else http.client.HTTPConnection
+            connection = kept or kind(place.netloc, timeout=self.timeout)
+            try:
+                connection.request("POST", place.path.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
+                answer = connection.getresponse()
+                content = answer.read()
+            except (http.client.HTTPException, OSError) as e:
+                connection.close()
+                if kept is None or isinstance(e, TimeoutError):
+                    raise
+                continue
+            known[key] = connection
+            if answer.status >= 400:
+                raise OSError(f"the model's server answered {answer.status}: {content[:200].decode(errors='replace')}")
+            return json.loads(content)
 
     def _chat(self, system: str, user: str, shape: dict[str, Any], budget: int) -> str:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]

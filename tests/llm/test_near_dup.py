@@ -141,3 +141,19 @@ def test_signatures_estimate_similarity():
     alone = N.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]))
     assert (alone[1] == N.signatures(y, np.array([len(y)]))[0]).all()  # a set's signature doesn't depend on its neighbours
     assert len(np.unique(alone[0])) > N.SLOTS * 0.9
+
+
+def test_hot_texts_are_split(spark, monkeypatch):
+    """With a text of many pairs sent to several groups, the groups are those of brute force."""
+    monkeypatch.setattr(N, "PAIRS", 3)
+    r = random.Random(31)
+    rows = list(enumerate(family(r, 40, 60, 0.05) + family(r, 10, 40, 0.1) + ["alone in this small world of words"]))
+    assert run(spark, rows, 80) == plain(rows, 80)
+
+
+def test_keep_one_of_repeated_rows(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, text), (2, text), (3, "another text of more than five words"), (3, "short"), (4, ""), (4, ""), (None, text), (None, text)]
+    df = spark.createDataFrame([(*x, 3, "x") for x in rows], SCHEMA)
+    got = sorted(((x["doc_id"], x["text"]) for x in N.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, text), (3, "another text of more than five words"), (3, "short"), (4, ""), (4, ""), (None, text), (None, text)], key=repr)

@@ -32,6 +32,8 @@ GROUP_ROWS = 1_000_000
 BROADCAST_GROUPS = 500_000
 #: Limits of the search: nodes, and kinds of lengths up to which states are remembered; the incumbent stands where it ends.
 NODES, REMEMBERED = 5_000, 48
+#: Dominated fillings that count as one node.
+PASSED = 50
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -209,11 +211,17 @@ def largest_first(counts: dict[int, int], room: int) -> Plan:
 
 
 def fillings(counts: dict[int, int], room: int, spare: int | None = None) -> Iterator[Filling]:
+    """The undominated ones of ``candidates``."""
+    return (x for x in candidates(counts, room, spare) if x is not None)
+
+
+def candidates(counts: dict[int, int], room: int, spare: int | None = None) -> Iterator[Filling | None]:
     """All undominated fillings of a bin around the largest length that waste ``spare`` at most, the least waste first.
 
     A filling is dominated, after Martello and Toth, if a piece that is left could be added, or could take the place of
     a shorter one or of two that together aren't longer: then some packing as good has the better filling. Sums that
-    can be reached are bit sets, so the search for a sum has no dead ends.
+    can be reached are bit sets, so the search for a sum has no dead ends. Each dominated filling comes as None, so that
+    who asks can stop.
     """
     top = max(counts)
     free = room - top
@@ -258,7 +266,9 @@ def fillings(counts: dict[int, int], room: int, spare: int | None = None) -> Ite
     for target in range(free, -1 if spare is None else max(-1, free - spare - 1), -1):
         if below[0] >> target & 1:
             for chosen in sums(0, target, ()):
-                if not dominated(chosen, free - target):
+                if dominated(chosen, free - target):
+                    yield None
+                else:
                     used = dict(chosen)
                     used[top] = used.get(top, 0) + 1
                     yield tuple(sorted(used.items(), reverse=True))
@@ -297,11 +307,13 @@ class _State:
         self.left, self.room, self.best, self.floor = left, room, best, floor
         self.total = sum(n * c for n, c in left.items())
         self.bins = sum(t for _, t in best)
-        self.seen, self.over = 0, self.bins <= floor
+        self.seen, self.passed, self.over = 0, 0, self.bins <= floor
 
-    def options(self, spare: int, banned: frozenset) -> Iterator[tuple[Filling, int]]:
-        for filling in fillings(self.left, self.room, spare):
-            if filling not in banned:
+    def options(self, spare: int, banned: frozenset) -> Iterator[tuple[Filling, int] | None]:
+        for filling in candidates(self.left, self.room, spare):
+            if filling is None or filling in banned:
+                yield None
+            else:
                 for times in range(min(self.left[n] // k for n, k in filling), 0, -1):
                     yield filling, times
 
@@ -316,8 +328,12 @@ class _State:
         while frames and self.seen < nodes and not self.over:
             frame = frames[-1]
             at_end = frame[1] and frame[2] == 0
-            choice = None if at_end else next(frame[0], None)
-            if choice is None:
+            choice = () if at_end else next(frame[0], ())
+            if choice is None:  # a filling that is passed over: so many of them count as a node
+                self.passed += 1
+                self.seen += self.passed % PASSED == 0
+                continue
+            if not choice:
                 frames.pop()
                 if path:
                     filling, times = path.pop()

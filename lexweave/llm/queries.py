@@ -58,7 +58,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.held_out(F.col("doc_id"), 3, 1)
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity.fit_all(docs, _table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

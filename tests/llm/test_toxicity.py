@@ -109,3 +109,57 @@ def test_little_to_learn_from(spark):
     assert X.score(docs, alone).where("predicted = 1").count() == 3
     both = X.fit(docs, labels((1, 1), (2, 0), (1, 0)))
     assert X.score(docs, both).count() == 3
+
+
+def test_the_query_learns_from_every_label(spark, tmp_path):
+    """A word that only toxic texts of the largest hashes hold is known, though these are more than a sample would hold."""
+    from lexweave.llm import queries
+
+    n = 13_000
+    ids = spark.range(n).withColumn("held", langid.held_out(F.col("id"), 3, 1)).withColumn("toxic", (F.col("id") % 2).cast("int"))
+    late = {r["id"] for r in ids.where("toxic = 1 and not held").orderBy(F.desc(F.xxhash64(F.lit("toxicity"), "id"))).limit(500).collect()}
+    asked = [r["id"] for r in ids.where("toxic = 1 and held").limit(40).collect()]
+    assert ids.where("toxic = 1 and not held").count() - len(late) > X.SAMPLE
+    word = lambda k: "zorgl" if k in late or k in asked else "moron" if k % 2 else "house"
+    docs = [(k, f"plain{k % 97} {word(k)} plain{k % 89} text{k % 83}") for k in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids.selectExpr("id doc_id", "1 quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_toxicity_cnn(spark, str(tmp_path)).collect()}
+    assert len(got) == n and all(got[k]["held_out"] for k in asked)
+    assert sum(got[k]["predicted"] for k in asked) >= 36
+    assert sum(r["predicted"] for k, r in got.items() if k % 2 == 0) < 60
+
+
+def test_every_text_counts_in_a_model_and_in_thresholds(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learned = labels.where(~langid.held_out(F.col("doc_id"), 3, 1))
+    n = learned.join(docs, "doc_id").where("text is not null and toxic is not null").select("doc_id").distinct().count()
+    whole = X.fit_all(docs, learned)
+    assert sum(whole.fitted) == n and whole.checked == whole.fitted[::-1]
+    monkeypatch.setattr(X, "BLOCK_BYTES", 50_000)  # several blocks a half
+    blocks, spread = X.fit_all(docs, learned), X.fit_all(docs.repartition(5), learned.repartition(3))
+    assert blocks.fitted == whole.fitted and blocks.checked == whole.checked
+    for a, b in zip(blocks.models, spread.models):
+        assert (a.embedding == b.embedding).all() and a.base == b.base and (a.shift == b.shift).all()
+    rows = X.score(docs, blocks).join(learned, "doc_id")
+    assert rows.where("predicted = toxic").count() / rows.count() > 0.95
+
+
+def test_counted_texts_calibrate_as_single_ones():
+    r = np.random.default_rng(3)
+    odds, language, texts = np.arange(400) / 64 - 3, r.integers(0, 3, 400), r.integers(1, 6, 400)
+    toxic = r.binomial(texts, 1 / (1 + np.exp(-2 * odds)))
+    single = np.concatenate([np.arange(n) < y for n, y in zip(texts, toxic)]).astype(int)
+    assert X.calibrated(odds, toxic, language, texts) == pytest.approx(X.calibrated(np.repeat(odds, texts), single, np.repeat(language, texts)))
+
+
+def test_little_to_learn_from_for_the_whole(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, ""), (1, "a")], "doc_id long, text string")
+    labels = lambda *r: spark.createDataFrame(list(r), "doc_id long, toxic int")
+    none = X.fit_all(docs, labels())
+    assert X.score(docs, none).where("predicted = 1").count() == 0
+    alone = X.fit_all(docs, labels((1, 1), (2, None), (None, 0), (9, 1)))
+    assert X.score(docs, alone).where("predicted = 1").count() == 5 and alone.fitted == (1,)
+    both = X.fit_all(docs, labels((1, 1), (2, 0), (1, 0), (4, 0), (3, 1)))
+    assert both.fitted == both.checked == (3,)  # one model of all, where a half would have too few
+    assert X.score(docs, both).count() == 5

@@ -33,6 +33,21 @@ def test_nearest_of_all_in_many_blocks(spark, monkeypatch):
     assert got == {i: (int(d[i].argmin()), 0.0) for i in range(90)}
 
 
+def test_pair_distances_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], r.standard_normal(4).tolist()) for i in range(60)] + [(60, "a", None), (61, "a", [0.0] * 4), (62, None, [1.0] * 4)]
+    table = vectors(spark, rows)
+    a = table.select(F.col("vector_id").alias("a"), "type", F.col("vector").alias("x"))
+    b = table.select(F.col("vector_id").alias("b"), "type", F.col("vector").alias("y"))
+    want = a.join(b, "type").where("a < b").select("a", "b", F.round(S.cosine_distance(F.col("x"), F.col("y")), 6) + 0.0)
+    monkeypatch.setattr(C, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(C, "PAIR_ROWS", 3)
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, C.pair_distances(table).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    plan = C.pair_distances(table)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan.split("MapInArrow")[0]
+
+
 def test_nearest_compares_equal_queries_once_and_pools_an_id(spark):
     table = vectors(spark, [(i, "t", [1.0, float(i)]) for i in range(6)])
     asked = spark.createDataFrame([(1, "t", [1.0, 0.0]), (1, "t", [1.0, 5.0]), (2, "t", [1.0, 0.0]), (None, "t", [1.0, 3.0])], "query_id long, type string, vector array<double>")

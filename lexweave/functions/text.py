@@ -104,6 +104,27 @@ def shares_token(a: Column, b: Column) -> Column:
     return F.arrays_overlap(name_tokens(a), name_tokens(b))
 
 
+def name_rules(name: Column) -> Column:
+    """What the rules on pairs of names need of one, to be worked out once per name: null for a null name."""
+    return F.when(name.isNotNull(), F.struct(F.length(name).alias("size"), name_tokens(name).alias("tokens"), initials(name).alias("initials"), letters(name).alias("letters")))
+
+
+def rules_share_token(a: Column, b: Column) -> Column:
+    """``shares_token`` of two names by their ``name_rules``."""
+    return F.arrays_overlap(a["tokens"], b["tokens"])
+
+
+def rules_acronym(a: Column, b: Column) -> Column:
+    """``acronym_related`` of two names by their ``name_rules``."""
+    first = a["size"] >= b["size"]
+    short = F.when(first, b["letters"]).otherwise(a["letters"])
+    return (F.length(short) > 1) & (F.when(first, a["initials"]).otherwise(b["initials"]) == short)
+
+
+def rules_related(a: Column, b: Column) -> Column:
+    return rules_share_token(a, b) | rules_acronym(a, b)
+
+
 def initials(name: Column) -> Column:
     """First letters, lower-cased, of all words but minor ones."""
     parts = F.filter(F.split(F.regexp_replace(name, r"[^a-zA-Z\s]", ""), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*MINOR_WORDS))

@@ -60,3 +60,21 @@ def test_search_bounds_arrow_batches(spark):
     C.nearest(table.withColumnRenamed("vector_id", "query_id"), table)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(2**31 - 1)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_name_rules_equal_the_rules(spark):
+    names = ["City of Bar", "C.O.B.", "cb", "", None, "of the", "Ännä Bar", "BAR-foo", "f", "Foo Bar Baz", "fbb"]
+    one = spark.createDataFrame([(n,) for n in names], "a string")
+    pairs = one.crossJoin(one.withColumnRenamed("a", "b"))
+    a, b = F.col("a"), F.col("b")
+    ra, rb = T.name_rules(a), T.name_rules(b)
+    rows = pairs.select("a", "b", T.shares_token(a, b), T.rules_share_token(ra, rb), T.acronym_related(a, b), T.rules_acronym(ra, rb), T.looks_related(a, b), T.rules_related(ra, rb)).collect()
+    assert len(rows) == len(names) ** 2
+    assert all(r[2] == r[3] and r[4] == r[5] and r[6] == r[7] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["shares_token", "acronym_related", "looks_related"])
+def test_no_pattern_is_matched_per_pair(spark, sf, name):
+    plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    head = plan.split("Join Inner")[0]
+    assert "split(" not in head and "regexp_replace(" not in head

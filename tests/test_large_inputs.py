@@ -62,6 +62,22 @@ def test_search_bounds_arrow_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
 
 
+def test_candidates_are_ranked_once_per_name(spark):
+    n = 400
+    m = spark.createDataFrame([(i, "t", "Anna Stone") for i in range(n)] + [(0, "t", "Anna Stones"), (None, "t", "Anna Stone")], "mention_id long, type string, name string")
+    e = spark.createDataFrame([(f"e{i:04}", "t", "Anna Stone" if i % 2 else "Anna Stones", f"{i:04}") for i in range(n)], "entity_id string, type string, name string, founded string")
+    got = C.name_candidates(m, e, k=3)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["mention_id"], []).append((r["pos"], r["entity_id"]))
+    assert len(found) == n + 1
+    assert all(sorted(v) == [(1, "e0000"), (2, "e0001"), (3, "e0002")] for k, v in found.items() if k != 0)
+    assert sorted(found[0]) == [(1, "e0000"), (2, "e0000"), (3, "e0001")]  # two rows of one mention share its places
+    # without copies of an id no window orders mentions any more
+    plan = C.name_candidates(m.where("mention_id > 0"), e, k=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(mention_id" not in plan
+
+
 def test_name_rules_equal_the_rules(spark):
     names = ["City of Bar", "C.O.B.", "cb", "", None, "of the", "Ännä Bar", "BAR-foo", "f", "Foo Bar Baz", "fbb"]
     one = spark.createDataFrame([(n,) for n in names], "a string")

@@ -113,3 +113,15 @@ def test_equal_pairs_of_a_batch_are_compared_once(spark, monkeypatch):
 
     out = S.jaro_winkler().func(pd.Series(["a", "a", None, "b"]), pd.Series(["x", "x", "x", "x"]))
     assert asked == ["a", "b"] and out.isna().tolist() == [False, False, True, False]
+
+
+def test_union_sorts_bounded_tasks(spark, tmp_path, monkeypatch):
+    from lexweave import durable
+
+    monkeypatch.setattr(durable, "TASK_ROWS", 10)
+    assert durable.partitions(spark, 1000) == 100
+    li = spark.range(1000).selectExpr("id div 4 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 4 + 1 as int) as l_linenumber", "1.0D as l_quantity", "1.0D as l_extendedprice")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = Q.QUERIES["union_candidates"](spark, str(tmp_path))
+    assert "hashpartitioning(mention_id" in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() == 200
+    assert found.count() == 1000

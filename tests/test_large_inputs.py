@@ -62,6 +62,16 @@ def test_search_bounds_arrow_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
 
 
+def test_native_hands_large_tables_to_blocks(spark, monkeypatch):
+    table = vectors(spark, [(i, "t", [1.0, float(i)]) for i in range(20)])
+    asked = table.withColumnRenamed("vector_id", "query_id")
+    native = sorted(map(tuple, C.nearest_native(asked, table, 3).select("query_id", "vector_id", F.col("distance") + 0.0, "rank").collect()))
+    monkeypatch.setattr(C, "NATIVE_PAIRS", 10)
+    large = C.nearest_native(asked, table, 3)
+    assert "MapInArrow" in large._jdf.queryExecution().toString()
+    assert sorted(map(tuple, large.select("query_id", "vector_id", "distance", "rank").collect())) == native
+
+
 def test_candidates_are_ranked_once_per_name(spark):
     n = 400
     m = spark.createDataFrame([(i, "t", "Anna Stone") for i in range(n)] + [(0, "t", "Anna Stones"), (None, "t", "Anna Stone")], "mention_id long, type string, name string")

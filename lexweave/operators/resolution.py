@@ -160,7 +160,7 @@ def resolve_batch(mentions: DataFrame, graph: Graph, batch: int, judge: Judge, e
     none = F.array().cast("array<string>")
     question = J.prompt(F.col("name"), F.col("type"), F.col("textual_evidence"), F.coalesce("docket_numbers", none) if "docket_numbers" in own.columns else none, F.coalesce("dates", none) if "dates" in own.columns else none, F.col("_blocks"))
     # judgments are written before use: a model must not be asked twice
-    judged = materialize(J.ask(own.select("mention_id", "name", "type", "textual_evidence", "candidates", question.alias("prompt")), judge, settings.model_partitions), "judgments")
+    judged = judged_table = materialize(J.ask(own.select("mention_id", "name", "type", "textual_evidence", "candidates", question.alias("prompt")), judge, settings.model_partitions), "judgments")
     wrong = J.count_mismatch(F.col("candidates"), F.col("judgments"))
     judged = judged.withColumn("error", F.coalesce("error", wrong))
     pairs = judged.where("error is null").select("mention_id", F.col("name").alias("mention_name"), F.posexplode(J.zip_judgments(F.col("candidates"), F.col("judgments"))).alias("_i", "z"))
@@ -176,6 +176,7 @@ def resolve_batch(mentions: DataFrame, graph: Graph, batch: int, judge: Judge, e
     graph.write("entities", good.where("is_new").select("entity_id", "name", "type", F.col("_order").alias("founded")), batch)
     graph.write("possible_duplicates", J.flag_edges(good.where("is_new and flags is not null")), batch)
     graph.write("mentioned_in", good, batch)
+    discard(rows, asked, judged_table)
     graph.write("entity_mentions", good.where("vector is not null").select(F.col("mention_id").alias("vector_id"), "entity_id", "mention_text", F.col("snippet").alias("context_snippet"), "vector", F.col("type").alias("entity_type"), "chunk_id"), batch)
     return done.select("mention_id", "type", "entity_id", "is_new", F.coalesce("flags", F.array().cast("array<struct<entity_id:string,reason:string>>")).alias("flags"), "error")
 

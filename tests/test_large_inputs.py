@@ -135,3 +135,17 @@ def test_union_sorts_bounded_tasks(spark, tmp_path, monkeypatch):
     found = Q.QUERIES["union_candidates"](spark, str(tmp_path))
     assert "hashpartitioning(mention_id" in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() == 200
     assert found.count() == 1000
+
+
+def test_a_batch_leaves_only_its_results(spark, tmp_path):
+    from test_resolution import mentions
+
+    from lexweave import durable
+    from lexweave.models import RuleJudge
+    from lexweave.operators import resolution as R
+
+    before = len(durable._written)
+    out = R.resolve_batch(mentions(spark), R.Graph(spark, str(tmp_path)), 0, RuleJudge())
+    left = [path.rsplit("/", 1)[1].split("-")[1] for _, path in durable._written[before:]]
+    assert not {"batch", "candidates", "judgments"} & set(left)
+    assert out.where("error is null").count() == 8
